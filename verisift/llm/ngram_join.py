@@ -2,8 +2,9 @@
 
 N-grams are ordered by how many documents hold them, rare ones first. Two sets with Jaccard t share an n-gram among the first
 n - ceil(t n) + 1 of either, so documents whose first n-grams are all their own have no partner. The others meet at such
-n-grams. Products are taken against one hub per n-gram first (the smallest set, which any near copy of it reaches), then
-exactly between all that still lie in different components and pass the bounds from sizes and positions.
+n-grams. Products are taken against one hub per n-gram first (the set with the fewest n-grams of its own: the text that the
+others are copies of), then exactly between all that still lie in different components and pass the bounds from sizes and
+positions. A copy that its original does not reach has lost so many n-grams that these bounds rule out most other copies.
 """
 
 from __future__ import annotations
@@ -157,8 +158,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     # ids of classes: the digest's own number, so that classes without any doc_id have one
     sets = written(sets.withColumn("id", F.xxhash64("digest")))
     index = sets.select("id", "n", F.col("own").alias("before"), F.posexplode(F.slice("grams", 1, F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("own")).cast("int")))).alias("k", "gram"))
-    index = index.select("gram", "id", "n", (F.col("n") - F.col("before") - F.col("k")).alias("rest"))
-    met = index.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("n", "id", "rest")).alias("hub")).where("held > 1")
+    index = index.select("gram", "id", "n", "before", (F.col("n") - F.col("before") - F.col("k")).alias("rest"))
+    met = index.groupBy("gram").agg(F.count("*").alias("held"), F.min(F.struct("before", "n", "id", "rest")).alias("hub")).where("held > 1")
     index = written(index.join(met.select("gram", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest")), "gram"))
     fits = lambda n, m, r, s: (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(r, s) * (100 + percent) >= (n + m) * percent)
     first = index.where(F.col("id") != F.col("hub")).where(fits(F.col("n"), F.col("hub_n"), F.col("rest"), F.col("hub_rest"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
