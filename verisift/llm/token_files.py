@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = _id_kind(path, end_id)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = held.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = held.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     end = np.array([end_id], kind).tobytes()
 
     def run(batches):
