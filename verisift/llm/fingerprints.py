@@ -15,6 +15,8 @@ from .common import _pow, first_of_runs, mix
 #: Slots of a fingerprint; levels of phrases, of which the last two are sketched; rounds of coin tossing in each.
 SLOTS, LEVELS, ROUNDS = 64, 3, 3
 _EMPTY = 0xFFFF
+#: Runs of the descending order per partition; several even out how the runs' hashes fall.
+RUNS_PER_PARTITION = 8
 
 
 def _names(symbols: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -98,10 +100,10 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     One exchange of the texts. The driver holds the runs' bounds and largest ids, one each per partition.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = RUNS_PER_PARTITION * (parts := int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     cuts = rows.where("doc_id is not null").approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = [float("-inf"), *sorted({c for c in cuts or [] if c is not None}), float("inf")]
+    bounds = [float("-inf"), *(sorted({c for c in cuts or [] if c is not None}) or [0.0]), float("inf")]
     rows = Bucketizer(splits=bounds, inputCol="at", outputCol="run").transform(rows).withColumn("run", F.col("run").cast("int"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     tops = {r["run"]: r["top"] for r in rows.groupBy("run").agg(F.max("id").alias("top")).collect()}
@@ -116,7 +118,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     copy = F.struct(to[F.col("run")].alias("run"), F.lit(True).alias("extra"))
     placed = F.when(F.col("id") == top[F.col("run")], F.array(own, copy)).otherwise(F.array(own))
     dealt = rows.select(F.explode(placed).alias("p"), "id", "doc_id", "text").select("p.run", "p.extra", "id", "doc_id", "text")
-    return dealt.repartition(n, "run").sortWithinPartitions("run", "extra", F.col("id").desc(), F.col("text").asc_nulls_first())
+    return dealt.repartition(parts, "run").sortWithinPartitions("run", "extra", F.col("id").desc(), F.col("text").asc_nulls_first())
 
 
 def fingerprint_documents(docs: DataFrame, batch_chars: int = 1 << 19) -> DataFrame:

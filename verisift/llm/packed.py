@@ -20,7 +20,7 @@ from .common import bucket_of, first_of_runs, key_of, pack40, text_buffer, unpac
 def dealt(docs: DataFrame, groups: int, keep_columns: bool = False) -> DataFrame:
     """(g, doc_id, text), and the other columns as a struct `rest`; a null doc_id is dealt by its text."""
     h = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    rest = [F.struct(F.lit(0).alias("-"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")] if keep_columns else []
+    rest = [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")] if keep_columns else []
     return docs.select(F.pmod(h, F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
 
 
@@ -47,7 +47,7 @@ def sent(g: int, h: np.ndarray, columns: dict[str, np.ndarray], buckets: int) ->
     """Rows (b, g, keys, columns...) for distinct ascending hashes h."""
     b = bucket_of(h, buckets).astype(np.int64)
     at = first_of_runs(b)
-    ends = np.r_[at[1:], len(b)].astype(np.int64)
+    ends = np.r_[at[1:], len(b)].astype(np.int64)[: len(at)]
     packed = {"keys": (pack40(h & np.uint64((1 << 40) - 1)), 5)} | {k: (np.ascontiguousarray(v).tobytes(), v.dtype.itemsize) for k, v in columns.items()}
     cut = {k: pa.array([raw[i * w : j * w] for i, j in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary()) for k, (raw, w) in packed.items()}
     return pa.table({"b": pa.array(b[at].astype(np.int32) if len(at) else [], pa.int32()), "g": pa.array([g] * len(at), pa.int32()), **cut})

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import group_count, steps, text_bytes, windows, words
 from .packed import Answers, Group, answered, dealt, sent
@@ -187,9 +188,9 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, groups: int | None = Non
         table = pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(kinds.items())})
         return table.append_column("rest", group.table.column("rest")) if keep_columns else table
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    if keep_columns:
-        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
+    schema = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    schema = schema.add("kept_text", "string") if with_text else schema
+    schema = schema.add(rows.schema["rest"]) if keep_columns else schema
     return rows.groupBy("g").cogroup(paths.groupBy("g")).applyInArrow(remove, schema)
 
 
