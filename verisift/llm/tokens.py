@@ -19,6 +19,8 @@ from .common import STEP_BYTES
 
 #: The byte-level pre-tokeniser's pattern; fixed by the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of a step: a step's new units are encoded at once.
+STEP_CHARS = 4 << 20
 #: Units that a worker remembers at most; further ones are encoded anew.
 CACHE = 600_000
 
@@ -127,9 +129,10 @@ class PairIndexBPE:
         """Ids of each unit: added tokens stand for themselves, the rest falls into words, each distinct word is encoded once."""
         known: dict[str, int] = {}
         plan = []
+        special = any(t in u for t in self.added for u in units)
         for u in units:
             seq = []
-            for i, part in enumerate(self.split.split(u) if self.split and any(t in u for t in self.added) else (u,)):
+            for i, part in enumerate(self.split.split(u) if special and any(t in u for t in self.added) else (u,)):
                 if i % 2:
                     seq.append(-1 - self.added[part])
                 else:
@@ -231,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(batches):
         for batch in batches:
             keys = batch.column(0)
-            for i, texts in text_steps(batch.column(1)):
+            for i, texts in text_steps(batch.column(1), STEP_CHARS):
                 out = []
                 for units in encode_texts(kind, path, texts, render):
                     text = ",".join([u[0] for u in units])
