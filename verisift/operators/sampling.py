@@ -85,7 +85,7 @@ def best_of_group(df: DataFrame, group: str, score: str, order: str) -> DataFram
 def running_baseline(df: DataFrame, run: str, step: str, value: str, decay: float = fixed.EMA_DECAY) -> DataFrame:
     """Exponential moving average from 0 over each run's ordered steps; one list per run, folded in order."""
     lists = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("x"))
-    grown = F.aggregate("x", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) * decay + x[value] * (1 - decay))))
+    grown = F.aggregate("x", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) * decay + x[value] * round(1 - decay, 12))))
     return lists.select(run, F.explode(F.arrays_zip("x", grown.alias("ema"))).alias("z")).select(run, f"z.x.{step}", f"z.x.{value}", "z.ema")
 
 
