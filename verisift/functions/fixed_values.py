@@ -37,3 +37,7 @@ JUDGE_LABELS = ("CORRECT", "PARTIALLY_CORRECT", "UNVERIFIABLE", "WRONG")
 EMA_DECAY = 0.95
 SPLIT_QUOTAS = {"tqa": 0.50, "mqa": 0.35, "vqa": 0.15}
 LAYER_QUOTAS = {0: 100, 1: 200, 2: 200}
+CLAIM_HINT = r"(?i)\d|increase|decrease|higher|lower|more|less|significant|outperform|worse"
+RENDER_TOKENS = r"(?:italic_|start_POSTSUBSCRIPT|end_POSTSUBSCRIPT|POSTSUPERSCRIPT)\s*"
+ASPECT_WEIGHTS = {"numeric": 0.3, "entity": 0.2, "relation": 0.2, "trend": 0.15, "completeness": 0.15}
+TYPE_PRIORITY = ("Comparative Analysis", "Descriptive/Quantitative", "Descriptive/Quantitative Analysis", "Causal Reasoning", "Methodological Analysis", "Conceptual Understanding", "Critical Evaluation")

@@ -12,22 +12,8 @@ from ..operators import html_tables as ht
 from ..operators import metrics as m
 from ..operators import sampling as s
 from ..sources.evidence import CLAIMS_SQL, RECORDS_SQL, fact_records, rendered_claims, table
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-H = "CAST(('0x' || substr(md5(CAST({k} AS VARCHAR) || '42'), 1, 8)) AS BIGINT)"
+from . import construction, responses  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
 
 @query(
@@ -267,10 +253,10 @@ def w3_best_of_group(spark, sf_dir):
 @query(
     """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     r AS (SELECT user_id, event_id, i, 0.05::DOUBLE * value AS ema FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, r.ema * 0.95::DOUBLE + e.value * 0.05::DOUBLE FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-    SELECT user_id, event_id, round(ema, 4) AS ema FROM r"""
+    SELECT user_id, event_id, ema FROM r"""
 )
 def w4_running_baseline(spark, sf_dir):
-    return s.running_baseline(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", F.round("ema", 4).alias("ema"))
+    return s.running_baseline(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "ema")
 
 
 @query("SELECT event_type, CAST((event_id - 1) // 100 AS BIGINT) AS interval, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE event_id > 0 GROUP BY 1, 2")
