@@ -51,7 +51,8 @@ def bracketed(raw: Column) -> Column:
 def judge_score(raw: Column) -> Column:
     """`score` of a JSON object (5 where it has none), else the first integer of the text within 0 to 10, else 5."""
     body = fenced_body(raw)
-    parsed = F.get_json_object(body, "$").isNotNull()
+    # the parser stops after the first value, so the braces must hold the whole body
+    parsed = body.rlike(r"(?s)^\{.*\}$") & F.get_json_object(body, "$").isNotNull()
     number = F.nullif(F.regexp_extract(raw, r"\b(\d+)\b", 1), F.lit("")).cast("long")
     return F.when(parsed, F.coalesce(F.get_json_object(body, "$.score").try_cast("double").cast("int"), F.lit(5))).otherwise(F.least(F.greatest(F.coalesce(number, F.lit(5)), F.lit(0)), F.lit(10)).cast("int"))
 
