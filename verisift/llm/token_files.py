@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import encode_texts, text_steps
+from .tokens import STEP_CHARS, encode_texts, text_steps
 
 #: Ids that reading back holds at once.
 READ_IDS = 4_000_000
@@ -55,8 +55,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
         keys, nulls, sizes = [], [], []
         with store.open_output_stream(f"{own}.bin") as out:
             for batch in batches:
-                for i, texts in text_steps(batch.column(1)):
-                    for units in encode_texts(f"library {kind.str}", path, texts, lambda _, ids: np.array(ids, kind).tobytes()):
+                for i, texts in text_steps(batch.column(1), STEP_CHARS):
+                    for units in encode_texts(f"library {kind.str}", path, texts, lambda _, ids: np.asarray(ids, kind).tobytes()):
                         blob = b"".join(units) + end
                         sizes.append(len(blob) // kind.itemsize)
                         out.write(blob)

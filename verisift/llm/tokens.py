@@ -23,6 +23,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 STEP_CHARS = 4 << 20
 #: Units that a worker remembers at most; further ones are encoded anew.
 CACHE = 600_000
+#: Characters of units that the library encodes as one run.
+RUN_CHARS = 1 << 10
 
 
 def byte_symbols() -> dict[int, str]:
@@ -146,7 +148,8 @@ class PairIndexBPE:
 
 
 class LibraryBPE:
-    """The same units by the tokenizers library."""
+    """The same units by the tokenizers library. Units that may stand next to each other are encoded as one run, and the bytes
+    that the ids stand for tell where each unit ends."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -154,9 +157,42 @@ class LibraryBPE:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(units, add_special_tokens=False)]
+        spec = json.load(open(path, encoding="utf-8"))
+        held = {i: len(s) for s, i in spec["model"]["vocab"].items()} | {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+        self.size = np.zeros(max(held) + 1, np.int64)
+        self.size[list(held)] = list(held.values())
+        self.kind = np.dtype("<u2" if len(self.size) <= 1 << 16 else "<u4")
+
+    def encode_units(self, units: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(units)
+        runs, run, n = [], [], 0
+        for i, u in enumerate(units):
+            if not u or u[0] != " " or u[-1].isspace():  # white space at an edge would join that of a neighbour
+                runs.append([i])
+                continue
+            run.append(i)
+            n += len(u)
+            if n >= RUN_CHARS:
+                runs.append(run)
+                run, n = [], 0
+        if run:
+            runs.append(run)
+        found = self.model.encode_batch_fast(["".join([units[i] for i in r]) for r in runs], add_special_tokens=False)
+        for r, e in zip(runs, found, strict=True):
+            ids = np.array(e.ids, self.kind)
+            if len(r) == 1:
+                out[r[0]] = ids
+                continue
+            ends = np.cumsum(self.size[ids])
+            want = np.cumsum([len(units[i].encode()) for i in r])
+            cut = np.searchsorted(ends, want)
+            if not np.array_equal(ends[cut], want):
+                raise ValueError("a token reaches over the end of a unit")
+            lo = 0
+            for i, hi in zip(r, (cut + 1).tolist(), strict=True):
+                out[i] = ids[lo:hi]
+                lo = hi
+        return out
 
 
 _EDGE = re.compile(r"\s\s")
@@ -173,35 +209,39 @@ def split_units(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Memory(dict):
+    """What a worker remembers of units. Once it is full, further ones stand in `more` for one step."""
+
+    def __init__(self):
+        self.more = {}
+
+    def __missing__(self, unit):
+        return self.more[unit]
+
+
 @lru_cache(maxsize=4)
 def coder(kind: str, path: str):
-    """One per worker and kind (pairs..., or library...), with its memory of units."""
+    """One per worker and kind (pairs..., or library...), with its memories of first units and of those after a space."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return (PairIndexBPE if kind.startswith("pairs") else LibraryBPE)(path), {}
+    return (PairIndexBPE if kind.startswith("pairs") else LibraryBPE)(path), Memory(), Memory()
 
 
 def encode_texts(kind: str, path: str, texts: list[str], render, limit: int = CACHE) -> list[list]:
     """For each text the list of its units' rendered ids. render(model, ids) makes what is remembered; it is one for a kind."""
-    model, seen = coder(kind, path)
+    model, heads, tails = coder(kind, path)
     parts = [split_units(t) for t in texts]
-    new: dict[str, None] = {}
-    for p in parts:
-        if p:
-            if (u := p[0]) not in seen:
-                new[u] = None
-            for u in p[1:]:
-                if (u := " " + u) not in seen:
-                    new[u] = None
-    fresh = {u: render(model, ids) for u, ids in zip(new, model.encode_units(list(new)), strict=True)}
-    if len(seen) + len(fresh) <= limit:
-        seen.update(fresh)
-        table = seen
-    else:  # the memory is full: what is new holds for this step alone
-        table = fresh
-        return [[(table.get(u) or seen[u]) for u in [p[0], *[" " + x for x in p[1:]]]] if p else [] for p in parts]
-    return [[table[p[0]], *[table[" " + x] for x in p[1:]]] if p else [] for p in parts]
+    rest = [p[1:] for p in parts]
+    first = list({p[0] for p in parts if p}.difference(heads))
+    after = list(set().union(*rest).difference(tails))
+    made = [render(model, ids) for ids in model.encode_units(first + [" " + u for u in after])]
+    full = len(heads) + len(tails) + len(made) > limit
+    heads.more, tails.more = {}, {}
+    (heads.more if full else heads).update(zip(first, made))
+    (tails.more if full else tails).update(zip(after, made[len(first) :], strict=True))
+    tail = tails.__getitem__
+    return [[heads[p[0]], *map(tail, r)] if p else [] for p, r in zip(parts, rest, strict=True)]
 
 
 def text_steps(column: pa.Array, limit: int = STEP_BYTES):
