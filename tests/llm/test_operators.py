@@ -225,6 +225,24 @@ def test_slots_must_agree(spark):
     assert [r["doc_id"] for r in find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
 
 
+def test_single_slots_veto_nothing(spark):
+    shop = "Anna has 3 apples in her basket and then buys 5 more of them at the market before she walks home along the river with friends"
+    openers = "The cat sat down on the mat near the door and looked at all of us. The dog ran far away over the hill to find the old bone that it had hidden there before"
+    walk = "then we all walked down to the harbour and watched the ships come in Paris was far away and 7 gulls sat on the wall"
+    texts = [shop.replace("3", "4").replace("5", "4"), openers.replace("The dog", "Two dog"), "then we all walked down to the harbour and watched the ships come in Rome is not Madrid or 9 others by Paris"]
+    clash = walk.replace("walked", "ran").replace("Paris", "Rome")  # no verbatim run of 13 words
+    docs = spark.createDataFrame([*enumerate(texts), (3, clash)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, shop), (1, openers), (2, walk)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in find_contamination(docs, bench).collect()) == [(0, 0), (1, 1), (2, 2), (3, 2)]
+
+
+def test_slots_count_in_the_matching_run_only(spark):
+    item = "Anna paid 5 coins for the bread and then she paid 8 coins for milk while others waited Anna sang 5 songs 5 times Anna 5 Anna 5"
+    text = "Carl paid 6 coins for the bread and then she paid 9 coins for milk but nobody came Emil saw 7 boats 8 cars Dora 1 Fritz 2"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r["doc_id"] for r in find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+
+
 def test_stages_keep_columns(table):
     for stage in (keep_one_per_component, keep_first_spans):
         out = stage(table)

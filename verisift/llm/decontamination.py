@@ -3,8 +3,8 @@
 Numbers, units after numbers and capitalised names become typed placeholders; other words lose their case and punctuation.
 Every window of a benchmark item's template is hashed; a document's template falls into windows side by side, so any shared
 passage of 2 * window - 1 words holds one of them whole, wherever it begins. Windows that meet give a document, an item and
-an offset; there the whole item is laid over the document, matching words are counted, and the placeholders' values must
-map one to one between item and document.
+an offset; there the whole item is laid over the document and matching words are counted. A verbatim run of PROOF words is a
+passage; in others each of the item's values must stand for one value of the document.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window, words in it that are no placeholder at least, matching words that prove a passage, and their share of a shorter item.
 WINDOW, LITERAL, PROOF, SHARE = 7, 3, 13, 0.8
+#: Share of a passage's placeholders that may hold a second value for one of the item's.
+CONFLICT = 0.15
 #: Benchmark windows up to this many rows (about 32 bytes each) are broadcast, more are joined by an exchange.
 BROADCAST_ROWS = 500_000
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hr", "hrs", "hours", "minutes", "seconds", "days", "weeks", "years", "miles", "meters", "metres", "feet", "dollars", "cents", "euros", "percent", "mph", "kmh", "usd", "eur")
@@ -58,21 +60,40 @@ def _hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     return met.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset", "item_words", "item_template")).alias("hits"))
 
 
-def _laid(hit: Column) -> Column:
-    """One hit's words laid over the document: its figures."""
-    t, w, off = hit["item_template"], hit["item_words"], hit["offset"]
+def _consistent(slots: Column) -> Column:
+    """Each value of the item stands for one value of the document, but for a small share of the slots; the reverse isn't asked."""
+    own = F.transform(slots, lambda s: F.struct(s["t"], s["v"]))
+    return F.size(F.array_distinct(slots)) - F.size(F.array_distinct(own)) <= CONFLICT * F.size(slots)
+
+
+def _runs(places: Column) -> Column:
+    """The runs of neighbours among ascending places: first, last."""
+    first, last = F.array_except(places, F.transform(places, lambda i: i + 1)), F.array_except(places, F.transform(places, lambda i: i - 1))
+    return F.arrays_zip(first.alias("first"), last.alias("last"))
+
+
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that expressions above don't work out again at each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _laid(each: DataFrame) -> DataFrame:
+    """Each hit's words laid over the document: `same` are the places of equal template words, `verbatim` those of them that hold one word."""
+    t, w, off = F.col("hit.item_template"), F.col("hit.item_words"), F.col("hit.offset")
     first, last = F.greatest(F.lit(0), -off), F.least(F.size(t), F.size("_template") - off) - 1
     same = F.when(last >= first, F.filter(F.sequence(first, last), lambda i: F.get(t, i) == F.get(F.col("_template"), i + off))).otherwise(F.array().cast("array<int>"))
-    slots = F.filter(same, lambda i: F.get(t, i).contains("<"))
-    own = F.transform(slots, lambda i: F.struct(F.get(t, i).alias("t"), F.get(w, i).alias("v")))
-    other = F.transform(slots, lambda i: F.struct(F.get(t, i).alias("t"), F.get(F.col("_words"), i + off).alias("v")))
-    kinds = F.size(F.array_distinct(F.arrays_zip(own.alias("own"), other.alias("other"))))
-    consistent = (kinds == F.size(F.array_distinct(own))) & (kinds == F.size(F.array_distinct(other)))
-    return F.struct(hit["item_id"].alias("item_id"), off.alias("offset"), F.size(t).alias("item_size"), F.size(same).alias("matched"), F.size(slots).alias("slots"), consistent.alias("consistent"))
+    verbatim = F.filter("same", lambda i: ~F.get(t, i).contains("<") | (F.get(w, i) == F.get(F.col("_words"), i + off)))
+    slots = F.transform(F.filter("same", lambda i: F.get(t, i).contains("<")), lambda i: F.struct(i.alias("i"), F.get(t, i).alias("t"), F.get(w, i).alias("v"), F.get(F.col("_words"), i + off).alias("d")))
+    return _held(_held(_held(each, "same", same), "verbatim", verbatim), "slots", slots)
 
 
-def _proved(found: Column) -> Column:
-    return found["consistent"] & ((found["matched"] >= PROOF) | (found["matched"] >= SHARE * found["item_size"]))
+def _proved() -> Column:
+    """A verbatim run proves a passage whatever lies around it; a run of equal template words, or all of them, if their slots agree."""
+    enough = lambda n: (n >= PROOF) | (n >= SHARE * F.size("hit.item_template"))
+    values = lambda slots: F.transform(slots, lambda s: F.struct(s["t"].alias("t"), s["v"].alias("v"), s["d"].alias("d")))
+    verbatim = F.exists(_runs(F.col("verbatim")), lambda r: r["last"] - r["first"] + 1 >= PROOF)
+    run = F.exists(_runs(F.col("same")), lambda r: enough(r["last"] - r["first"] + 1) & _consistent(values(F.filter("slots", lambda s: s["i"].between(r["first"], r["last"])))))
+    return enough(F.size("same")) & (verbatim | _consistent(values(F.col("slots"))) | run)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -80,9 +101,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     windows = benchmark_windows(benchmark, window)
     hits = _hits(docs, windows, window).withColumnRenamed("doc_id", "_id")
     met = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.md5("text").alias("_text"), _template(F.col("text")).alias("_template"), _words(F.col("text")).alias("_words"), "hits")
-    each = met.select("doc_id", "_text", "_template", "_words", F.explode("hits").alias("hit"))
-    laid = each.select("doc_id", "_text", F.explode(F.array(_laid(F.col("hit")))).alias("f"))
-    return laid.where(_proved(F.col("f"))).select("doc_id", "_text", "f.*")
+    laid = _laid(met.select("doc_id", "_text", "_template", "_words", F.explode("hits").alias("hit")))
+    return laid.where(_proved()).select("doc_id", "_text", "hit.item_id", "hit.offset", F.size("hit.item_template").alias("item_size"), F.size("same").alias("matched"), F.size("slots").alias("slots"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
