@@ -243,6 +243,16 @@ def test_slots_count_in_the_matching_run_only(spark):
     assert [r["doc_id"] for r in find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
 
 
+def test_items_are_met_at_every_offset(spark):
+    rich = "Ann has 3 kg, Bob has 5 kg, Cid has 7 kg, Dan has 2 kg, Eve has 4 kg, Flo has 6 kg, Gus has 8"
+    items = [rich, "how many of the small boats came back at night", "the boats came back late at night", "why is water wet", "what 5 kg"]
+    rows = [(100 * k + n, " ".join([*["filler"] * n, item, "filler"])) for k, item in enumerate(items) for n in range(7)]
+    docs = spark.createDataFrame([*rows, (900, "why is Water not wet and what 6 kg"), (901, None), (902, "why")], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (9, ""), (10, None)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["offset"]) for r in find_contamination(docs, bench).collect())
+    assert got == [(i, i // 100, i % 100) for i, _ in rows]
+
+
 def test_stages_keep_columns(table):
     for stage in (keep_one_per_component, keep_first_spans):
         out = stage(table)

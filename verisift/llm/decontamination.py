@@ -1,9 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, units after numbers and capitalised names become typed placeholders; other words lose their case and punctuation.
-Every window of a benchmark item's template is hashed; a document's template falls into windows side by side, so any shared
-passage of 2 * window - 1 words holds one of them whole, wherever it begins. Windows that meet give a document, an item and
-an offset; there the whole item is laid over the document and matching words are counted. A verbatim run of PROOF words is a
+Every window of a benchmark item and of a document is hashed, by its template, or by its raw words where few are no
+placeholder; items below the window's length are hashed whole. Windows that meet give a document, an item and an offset; there the whole item is laid over the document and matching words are counted. A verbatim run of PROOF words is a
 passage; in others each of the item's values must stand for one value of the document.
 """
 
@@ -39,23 +38,41 @@ def _template(text: Column) -> Column:
     return F.filter(F.split(_template_text(text), _SPACE), lambda w: w != "")
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that expressions above don't work out again at each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, item_words, item_template, at, key for every window with enough words that are no placeholder."""
+    """item_id, item_words, item_template, at, size, raw, key for every window; an item below the window's length is one by itself.
+
+    Windows with enough words that are no placeholder are keyed by their template, the others and short items by their words."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("item_words"), _template(F.col("text")).alias("item_template"))
-    items = items.where(F.size("item_template") >= window)
-    at = items.select("*", F.explode(F.sequence(F.lit(0), F.size("item_template") - window)).alias("at"))
-    part = F.slice("item_template", F.col("at") + 1, window)
-    return at.where(F.size(F.filter(part, lambda w: ~w.contains("<"))) >= LITERAL).withColumn("key", F.xxhash64(F.array_join(part, " ")))
+    items = items.where(F.size("item_template") > 0).withColumn("size", F.least(F.lit(window), F.size("item_template")))
+    at = items.select("*", F.explode(F.sequence(F.lit(0), F.size("item_template") - F.col("size"))).alias("at"))
+    part = F.slice("item_template", F.col("at") + 1, F.col("size"))
+    raw = (F.size(F.filter(part, lambda w: ~w.contains("<"))) < LITERAL) | (F.col("size") < window)
+    return at.withColumn("raw", raw).withColumn("key", F.xxhash64(F.when(F.col("raw"), F.slice("item_words", F.col("at") + 1, F.col("size"))).otherwise(part)))
+
+
+def _keys(words: str, size: int) -> Column:
+    """The key of `size` words at every offset; xxhash64 of several columns is that of their array."""
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(size)]))
+    return F.when(F.size(words) >= size, each)
 
 
 def _hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     """doc_id and, for each item and offset at which windows meet, the item's words."""
-    # one pass of the pattern over the template; expressions above explode() see its rows, not the whole text again
-    chunks = F.regexp_extract_all(_template_text(F.col("text")), F.lit(rf"(?:[^\x20\x09-\x0D]+{_SPACE}){{{window - 1}}}[^\x20\x09-\x0D]+"), F.lit(0))
-    keys = docs.select("doc_id", F.posexplode(chunks).alias("chunk", "words")).select("doc_id", "chunk", F.xxhash64(F.regexp_replace("words", _SPACE, " ")).alias("key"))
+    held = windows.groupBy("raw", "size").count().collect()
+    raw_sizes = sorted(r["size"] for r in held if r["raw"])
+    texts = _held(docs.select("doc_id", "text"), "template", _template(F.col("text")))
+    if raw_sizes:
+        texts = _held(texts, "words", _words(F.col("text")))
+    at_all = F.explode(F.array(_keys("template", window), *[_keys("words", n) for n in raw_sizes])).alias("keys")
+    keys = texts.select("doc_id", at_all).select("doc_id", F.posexplode("keys").alias("place", "key"))
     small = windows.select("key", "item_id", "at")
-    small = F.broadcast(small) if windows.count() <= BROADCAST_ROWS else small
-    met = keys.join(small, "key").select("doc_id", "item_id", (F.col("chunk") * window - F.col("at")).alias("offset")).distinct()
+    small = F.broadcast(small) if sum(r["count"] for r in held) <= BROADCAST_ROWS else small
+    met = keys.join(small, "key").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("offset")).distinct()
     items = windows.select("item_id", "item_words", "item_template").distinct()
     return met.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset", "item_words", "item_template")).alias("hits"))
 
@@ -72,11 +89,6 @@ def _runs(places: Column) -> Column:
     return F.arrays_zip(first.alias("first"), last.alias("last"))
 
 
-def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that expressions above don't work out again at each use."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _laid(each: DataFrame) -> DataFrame:
     """Each hit's words laid over the document: `same` are the places of equal template words, `verbatim` those of them that hold one word."""
     t, w, off = F.col("hit.item_template"), F.col("hit.item_words"), F.col("hit.offset")
@@ -108,8 +120,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Benchmark items in docs(doc_id, text), verbatim or with other numbers, names and units; benchmark(item_id, text).
 
-    Null and empty texts hold nothing; items of fewer than `window` words, or without a window of LITERAL words that are no
-    placeholder, can't be found. Repeated doc_ids are judged each by its own text, null ones too; repeated items count once;
+    Null and empty texts hold nothing; items of fewer than `window` words, and windows with fewer than LITERAL words that are
+    no placeholder, are met verbatim only. Repeated doc_ids are judged each by its own text, null ones too; repeated items count once;
     empty tables give no rows; other columns are ignored. One row per document row and item: doc_id, item_id, item_size,
     matched (words), slots (placeholders among them), offset (of the item's first word in the document's words; of equal
     matches the first).
