@@ -94,3 +94,10 @@ def test_stream_ingest_and_running_average(spark, tmp_path):
     stream = st.running_average(spark.readStream.schema("run string, step long, value double").parquet(f"{tmp_path}/in"))
     stream.writeStream.format("memory").queryName("ema").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["run"], r["step"], round(r["ema"], 6)) for r in spark.table("ema").collect()) == [("a", 1, 0.05), ("a", 2, -0.0025), ("b", 1, 0.025)]
+
+
+def test_papers_without_claims_or_records_score_zero(spark):
+    said = spark.createDataFrame([("a", 0, "SMALL achieves 5.0% recall on the benchmark suite."), ("b", 0, "Nothing of the kind."), ("c", 0, "SMALL achieves 5.0% recall on the benchmark suite.")], "paper_id string, claim_ord int, text string")
+    records = spark.createDataFrame([(p, 0, 0, "SMALL", "recall", 50, 5.0, "small", "recall") for p in "ab"], "paper_id string, table_ord int, rec_ord int, entity string, metric string, tenths long, value double, entity_norm string, metric_norm string")
+    got = {r["paper_id"]: tuple(round(r[x], 6) for x in ("claims", "base", "specificity", "coverage", "total")) for r in c.reward_by_paper(said, records).collect()}
+    assert got == {"a": (1, 1.0, 0.05, 0.1, 1.15), "b": (0, 0, 0, 0, 0), "c": (1, 0, 0.05, 0, 0.05)}

@@ -138,7 +138,8 @@ def fused_reward(layers: dict[int, Column]) -> Column:
 
 
 def reward_by_paper(responses: DataFrame, records: DataFrame) -> DataFrame:
-    """A1 to A5 with blank layer-2 evidence: per paper_id base, coverage, specificity and total of its claims.
+    """A1 to A5 with blank layer-2 evidence: per paper_id of responses base, coverage, specificity and total of its claims; zero
+    where it has none, and coverage zero where it has no records.
 
     responses: (paper_id, claim_ord, text), each text one response part of its paper."""
     claims = route(extract_claims(responses))
@@ -149,5 +150,6 @@ def reward_by_paper(responses: DataFrame, records: DataFrame) -> DataFrame:
     names = claims.select("paper_id", F.explode("entities.normalized").alias("name")).distinct()
     touched = records.join(names, "paper_id", "left").groupBy("paper_id", "table_ord", "rec_ord").agg(F.max(F.coalesce(F.col("entity_norm").contains(F.col("name")) | F.col("name").contains(F.col("entity_norm")), F.lit(False)).cast("int")).alias("hit"))
     covered = touched.groupBy("paper_id").agg(F.avg("hit").alias("covered"))
-    both = scored.join(covered, "paper_id")
+    both = responses.select("paper_id").distinct().join(scored, "paper_id", "left").join(covered, "paper_id", "left")
+    both = both.select("paper_id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("claims", "base", "specific", "covered")])
     return both.select("paper_id", "claims", "base", (F.col("specific") * 0.05).alias("specificity"), (F.least(F.col("covered"), F.lit(1.0)) * 0.1).alias("coverage")).withColumn("total", F.col("base") + F.col("coverage") + F.col("specificity"))
