@@ -9,6 +9,8 @@ from verisift.operators import claims as c
 from verisift.operators import html_tables as ht
 from verisift.operators import metrics as m
 from verisift.operators import sampling as s
+from verisift.plans import queries as plans
+from verisift.sources.evidence import fact_records
 from verisift.streaming import ingest as st
 
 
@@ -101,3 +103,11 @@ def test_papers_without_claims_or_records_score_zero(spark):
     records = spark.createDataFrame([(p, 0, 0, "SMALL", "recall", 50, 5.0, "small", "recall") for p in "ab"], "paper_id string, table_ord int, rec_ord int, entity string, metric string, tenths long, value double, entity_norm string, metric_norm string")
     got = {r["paper_id"]: tuple(round(r[x], 6) for x in ("claims", "base", "specificity", "coverage", "total")) for r in c.reward_by_paper(said, records).collect()}
     assert got == {"a": (1, 1.0, 0.05, 0.1, 1.15), "b": (0, 0, 0, 0, 0), "c": (1, 0, 0.05, 0, 0.05)}
+
+
+def test_html_of_every_table(spark):
+    sf = "/root/testdata/sf0.001"
+    got = plans.t1_to_t9_html_tables(spark, sf).select("paper_id", "table_ord", "entity", "metric", "value").collect()
+    names = {"accuracy": "Quality / accuracy", "recall": "Quality / recall", "latency": "Speed / latency"}
+    want = [(r["paper_id"], r["table_ord"], r["entity"], names[r["metric"]], r["value"]) for r in fact_records(spark, sf).collect()]
+    assert {r[1] for r in want} == {0, 1, 2} and sorted(map(tuple, got)) == sorted(want)

@@ -354,12 +354,12 @@ def r4_layer_distribution(spark, sf_dir):
 
 @query()
 def t1_to_t9_html_tables(spark, sf_dir):
-    """Fact records of each nation's first table written as HTML with a spanning header, and read back."""
-    cells = fact_records(spark, sf_dir).where("table_ord = 0").groupBy("paper_id", "entity").agg(F.array_sort(F.collect_list(F.struct("rec_ord", "value"))).alias("v"))
+    """Fact records of each nation's tables written as HTML with a spanning header, and read back."""
+    cells = fact_records(spark, sf_dir).groupBy("paper_id", "table_ord", "entity").agg(F.array_sort(F.collect_list(F.struct("rec_ord", "value"))).alias("v"))
     row = F.concat(F.lit("<tr><td>"), F.col("entity"), F.lit("</td><td>"), F.array_join(F.transform("v", lambda x: x["value"].cast("string")), "</td><td>"), F.lit("</td></tr>"))
-    pages = cells.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("b"))
+    pages = cells.groupBy("paper_id", "table_ord").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("b"))
     head = "<table><tr><th rowspan=2>Model</th><th colspan=2>Quality</th><th>Speed</th></tr><tr><th>accuracy</th><th>recall</th><th>latency</th></tr>"
-    return ht.records_of(ht.table_rows(pages.select("paper_id", F.concat(F.lit(head), F.col("b"), F.lit("</table>")).alias("html")))).drop("html")
+    return ht.records_of(ht.table_rows(pages.select("paper_id", "table_ord", F.concat(F.lit(head), F.col("b"), F.lit("</table>")).alias("html")))).drop("html")
 
 
 @query()
