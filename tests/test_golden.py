@@ -111,3 +111,14 @@ def test_html_of_every_table(spark):
     names = {"accuracy": "Quality / accuracy", "recall": "Quality / recall", "latency": "Speed / latency"}
     want = [(r["paper_id"], r["table_ord"], r["entity"], names[r["metric"]], r["value"]) for r in fact_records(spark, sf).collect()]
     assert {r[1] for r in want} == {0, 1, 2} and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_running_average_rejects_late_steps(spark, tmp_path):
+    schema = "run string, step long, value double"
+    for k, rows in enumerate(([("r", 1, 1.0), ("r", 2, 2.0), ("r", 2, 3.0)], [("r", 1, 9.0), ("r", 3, 4.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        st.write_running_average(stream, f"{tmp_path}/out", f"{tmp_path}/check", 0.5)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("step", "value").collect()
+    assert [(r["step"], r["value"], r["ema"]) for r in got] == [(1, 1.0, 0.5), (2, 2.0, 1.25), (2, 3.0, 2.125), (3, 4.0, 3.0625)]
+    assert [(r["step"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/out-rejected").collect()] == [(1, 9.0)]

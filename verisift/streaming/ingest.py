@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, good: str, files_per_trigger: int = 1000) -> None:
-    """ST1 and IO11: all files there are, in bounded micro-batches; rows for which `good` fails go to <sink>-rejected.
-
-    A batch overwrites its own folder, so one that runs twice leaves its rows once."""
+def _parted(sink: str, good: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch's rows to sink, those for which `good` fails to <sink>-rejected."""
 
     def put(batch: DataFrame, number: int) -> None:
         marked = batch.withColumn("_good", F.coalesce(F.expr(good), F.lit(False))).persist()
@@ -18,8 +18,15 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
             marked.where(keep).drop("_good").write.mode("overwrite").parquet(f"{folder}/batch={number}")
         marked.unpersist()
 
+    return put
+
+
+def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, good: str, files_per_trigger: int = 1000) -> None:
+    """ST1 and IO11: all files there are, in bounded micro-batches; rows for which `good` fails go to <sink>-rejected.
+
+    A batch overwrites its own folder, so one that runs twice leaves its rows once."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(_parted(sink, good)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -28,17 +35,25 @@ def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def running_average(stream: DataFrame, decay: float = 0.95) -> DataFrame:
-    """ST4: the moving average of (run, step, value) as state per run; steps of a batch in order, late steps left out."""
+    """ST4: the moving average of (run, step, value) as state per run; steps of a batch in order, repeated ones each, as in w4.
+
+    Late steps (below the last one seen) come out without an average, and leave the state as it is."""
 
     def update(key, frames, state):
-        step, ema = state.get if state.exists else (-1, 0.0)
-        rows = pd.concat(list(frames)).sort_values("step")
+        step, ema = state.get if state.exists else (-(1 << 63), 0.0)
+        rows = pd.concat(list(frames)).sort_values("step", kind="stable")
         out = []
         for s, v in zip(rows["step"], rows["value"], strict=True):
-            if s > step:
+            if s >= step:
                 step, ema = int(s), decay * ema + (1 - decay) * float(v)
-                out.append((key[0], step, ema))
+            out.append((key[0], int(s), float(v), ema if s >= step else None))
         state.update((step, ema))
-        yield pd.DataFrame(out, columns=["run", "step", "ema"])
+        yield pd.DataFrame(out, columns=["run", "step", "value", "ema"])
+
+    return stream.groupBy("run").applyInPandasWithState(update, "run string, step long, value double, ema double", "step long, ema double", "append", "NoTimeout")
+
 
-    return stream.groupBy("run").applyInPandasWithState(update, "run string, step long, ema double", "step long, ema double", "append", "NoTimeout")
+def write_running_average(stream: DataFrame, sink: str, checkpoint: str, decay: float = 0.95) -> None:
+    """ST4 over all there is: averages to sink, late steps to <sink>-rejected."""
+    put = _parted(sink, "ema is not null")
+    running_average(stream, decay).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
