@@ -253,6 +253,16 @@ def test_items_are_met_at_every_offset(spark):
     assert got == [(i, i // 100, i % 100) for i, _ in rows]
 
 
+def test_one_row_stays_of_each_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (7, a), (7, a + " more"), (None, a.upper()), (None, b), (None, b + " more"), (4, c), (4, c), (4, "apart"), (None, None), (9, "")]
+    out = keep_one_per_component(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _lang string"))
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = [(7, min(a, a + " more", key=digest)), (None, min(b, b + " more", key=digest)), (4, c), (4, "apart"), (None, None), (9, "")]
+    assert out.columns == ["doc_id", "text", "_lang"] and Counter(got) == Counter(want)
+
+
 def test_stages_keep_columns(table):
     for stage in (keep_one_per_component, keep_first_spans):
         out = stage(table)

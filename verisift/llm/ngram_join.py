@@ -184,9 +184,14 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 
 def keep_one_per_component(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs with all its columns: of each component the row whose doc_id names it. Rows without words and rows without doc_id stay."""
-    named = written(jaccard_components(docs, size, percent))
-    stay = named.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.where("doc_id is null").unionByName(docs.join(stay, "doc_id", "left_semi"))
-    again = docs.groupBy("doc_id", F.md5("text")).agg(F.count("*").alias("n")).where("n > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """docs with all its columns: of each component the first row by doc_id (null last) and the text's digest. Rows without words stay,
+    of equal ones (doc_id and text) one."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    rows, key = docs, "doc_id"
+    if not odd.isEmpty():  # doc_id doesn't tell rows apart: their place in the order does
+        key = "_place"
+        rows = docs.dropDuplicates(["doc_id", "text"]).orderBy(F.col("doc_id").asc_nulls_last(), F.md5("text"))
+        rows = written(rows.select("*", F.monotonically_increasing_id().alias(key)))
+    named = written(jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), size, percent))
+    stay = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
+    return rows.join(stay, key, "left_semi").select(*docs.columns)
