@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 4 << 20
 #: UTF-8 text that one numpy step takes at most, unless a single text is longer.
 STEP_BYTES = 1 << 20
+#: UTF-8 text that is hashed at once, unless a single word is longer.
+HASH_BYTES = (1 << 18) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every machine sees; an own one only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which every machine sees; an own one only where it is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         else:
             import tempfile
 
@@ -32,12 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: With it the shuffle files of a write go when the write has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder."""
+    """Cuts the lineage: df as a Parquet table in the shared folder. The shuffle files behind it are dropped once it is written."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -53,11 +74,31 @@ def lookup_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker keeps between tasks of one operator: functions that drop it. Workers outlive operators, and their memory is shared.
+KEPT: list = []
+
+
+def release() -> None:
+    """Drops what an earlier operator keeps in this worker, and gives its memory back."""
+    import ctypes
+    import gc
+
+    while KEPT:
+        KEPT.pop()()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --- Arrow text -> numpy -------------------------------------------------------------------
 
 
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, offsets from 0; null texts are empty."""
+    if KEPT:
+        release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if isinstance(column, pa.ChunkedArray):
@@ -96,15 +137,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _R), np.full(n, _RINV)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n + 1).bit_length()))
+@lru_cache(maxsize=1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(HASH_BYTES + 1)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n; those of a block are kept, those of a longer word are not."""
+    return _block_powers() if n <= HASH_BYTES else _new_powers(n + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -117,6 +163,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes, or 64-bit symbols, of ascending ranges [start, stop), by blocks of HASH_BYTES, so that memory doesn't grow with a text."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + HASH_BYTES, side="right")))
+        a, z = int(start[i]), int(stop[j - 1])
+        up, down = _powers(z - a)
+        s = np.zeros(z - a + 1, np.uint64)
+        values = data[a:z] if data.dtype == np.uint64 else _BYTE[data[a:z]]
+        np.cumsum(values * up[: z - a], out=s[1:])
+        lo, hi = start[i:j] - a, stop[i:j] - a
+        out[i:j] = mix((s[hi] - s[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+        i = j
+    return out
+
+
 def words(data: np.ndarray, off: np.ndarray, lower: bool = False):
     """Words [^\\x20\\x09-\\x0D]+ of the texts: (hash, start, end, first), where first[d]:first[d + 1] are those of text d."""
     n = len(data)
@@ -132,11 +195,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False):
     begin[1:] &= ~solid[:-1] | cut[1:n]
     end[:-1] &= ~solid[1:] | cut[1:n]
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _pow(n)
-    s = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=s[1:])
-    h = mix((s[stop] - s[start]) * down[start] + (stop - start).astype(np.uint64))
-    return h, start, stop, np.searchsorted(start, off).astype(np.int64)
+    return range_hashes(data, start, stop), start, stop, np.searchsorted(start, off).astype(np.int64)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

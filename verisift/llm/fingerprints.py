@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _pow, first_of_runs, mix
+from .common import first_of_runs, mix, range_hashes
 
 #: Slots of a fingerprint; levels of phrases, of which the last two are sketched; rounds of coin tossing in each.
 SLOTS, LEVELS, ROUNDS = 64, 3, 3
@@ -21,11 +21,7 @@ RUNS_PER_PARTITION = 8
 
 def _names(symbols: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """A name for each run of symbols that begins at a cut."""
-    ends = np.r_[cuts[1:], len(symbols)]
-    up, down = _pow(len(symbols))
-    s = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[: len(symbols)], out=s[1:])
-    return mix((s[ends] - s[cuts]) * down[cuts] + (ends - cuts).astype(np.uint64))
+    return range_hashes(symbols, cuts, np.r_[cuts[1:], len(symbols)])
 
 
 def phrases(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

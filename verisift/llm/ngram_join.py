@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_runs, group_count, steps, text_bytes, windows, words, written
+from .common import first_of_runs, forget, group_count, steps, text_bytes, windows, words, written
 from .packed import Answers, Group, answered, dealt, sent
 
 SIZE, PERCENT = 5, 75
@@ -138,7 +138,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small.where("u <> v"))
+        last, now = now, written(small.where("u <> v"))
+        forget(last)
         if (new := mark(now)) == old:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         old = new

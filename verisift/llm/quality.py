@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _pow, steps, text_buffer, windows, words, written
+from .common import range_hashes, steps, text_buffer, windows, words, written
 
 FEATURES = (
     "log_words", "word_length", "word_length_spread", "upper", "digit", "stop", "mark", "other_sign", "beyond_ascii", "upper_words", "marked_words",
@@ -76,13 +76,10 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         again[1:] = (ph[o][1:] == ph[o][:-1]) & (pd_[o][1:] == pd_[o][:-1])
     repeated_pairs = np.bincount(pd_[o].astype(np.int64), again, n_docs) if len(o) else np.zeros(n_docs)
     # lines
-    up, down = _pow(len(data))
-    s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=s[1:])
     line = np.unique(np.r_[off, np.flatnonzero(data == 10) + 1])
     a, b = line[:-1], line[1:]
     ld = np.searchsorted(off, a, side="right") - 1
-    lh = (s[b] - s[a]) * down[a]
+    lh = range_hashes(data, a, b)
     o = np.lexsort((lh, ld)) if len(a) else np.zeros(0, np.int64)
     same = np.zeros(len(o), bool)
     if len(o):
