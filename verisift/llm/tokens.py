@@ -15,14 +15,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import STEP_BYTES
+from .common import KEPT, STEP_BYTES
 
 #: The byte-level pre-tokeniser's pattern; fixed by the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a step: a step's new units are encoded at once.
 STEP_CHARS = 4 << 20
-#: Units that a worker remembers at most; further ones are encoded anew.
-CACHE = 600_000
+#: Bytes of units and their ids that a worker remembers about; further units are encoded anew.
+MEMORY_BYTES = 64 << 20
+#: What Python needs for a remembered unit besides its characters and ids.
+UNIT_BYTES = 200
 #: Characters of units that the library encodes as one run.
 RUN_CHARS = 1 << 10
 
@@ -40,7 +42,7 @@ class PairIndexBPE:
     All words lie in one array of symbols with links to the neighbours. An index maps each rank to the positions at which
     its pair stands. Active ranks are taken in ascending order from a heap; a rank's positions that still hold its pair
     merge from left to right, and the pairs that this makes are filed under their ranks. A new pair holds the symbol just
-    made, which only later ranks use, so no rank comes back.
+    made, which in a trained vocabulary only later ranks use, so no rank comes back; other vocabularies are refused.
     """
 
     def __init__(self, path: str):
@@ -55,12 +57,18 @@ class PairIndexBPE:
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        used = np.full(max(self.bytes) + 1, len(merges))
+        np.minimum.at(used, np.r_[left, right], np.r_[np.arange(len(merges)), np.arange(len(merges))])
+        if (used[self.made] <= np.arange(len(merges))).any():
+            raise ValueError("a merge uses a symbol that a later one makes")
         self.left, self.right = left.tolist(), right.tolist()
         pairs = (left << 32) | right
         self.by_pair = np.argsort(pairs, kind="stable")
         self.pairs = pairs[self.by_pair]
         self.word = regex.compile(PATTERN)
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.kind = np.dtype("<u2" if max(self.bytes) < 1 << 16 else "<u4")
+        self.decimal = {i: str(i) for i in self.bytes}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none."""
@@ -210,10 +218,10 @@ def split_units(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """What a worker remembers of units. Once it is full, further ones stand in `more` for one step."""
+    """What a worker remembers of units, and about how many bytes that takes. Once it is full, further ones stand in `more` for one step."""
 
     def __init__(self):
-        self.more = {}
+        self.more, self.held = {}, 0
 
     def __missing__(self, unit):
         return self.more[unit]
@@ -221,27 +229,33 @@ class Memory(dict):
 
 @lru_cache(maxsize=4)
 def coder(kind: str, path: str):
-    """One per worker and kind (pairs..., or library...), with its memories of first units and of those after a space."""
+    """One per worker and kind (pairs..., or library...), with its memories of first units and of those after a space. The next operator drops it."""
     import os
 
+    KEPT[:] = [coder.cache_clear]
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return (PairIndexBPE if kind.startswith("pairs") else LibraryBPE)(path), Memory(), Memory()
 
 
-def encode_texts(kind: str, path: str, texts: list[str], render, limit: int = CACHE) -> list[list]:
-    """For each text the list of its units' rendered ids. render(model, ids) makes what is remembered; it is one for a kind."""
+def encode_texts(kind: str, path: str, texts: list[str], render, limit: int = MEMORY_BYTES) -> list[list]:
+    """For each text the list of its units' ids as bytes. render(model, ids) makes what is remembered; it is one for a kind."""
     model, heads, tails = coder(kind, path)
     parts = [split_units(t) for t in texts]
     rest = [p[1:] for p in parts]
     first = list({p[0] for p in parts if p}.difference(heads))
     after = list(set().union(*rest).difference(tails))
     made = [render(model, ids) for ids in model.encode_units(first + [" " + u for u in after])]
-    full = len(heads) + len(tails) + len(made) > limit
+    size = UNIT_BYTES * len(made) + sum(map(len, made)) + sum(map(len, first)) + sum(map(len, after))
+    full = heads.held + size > limit
+    heads.held += 0 if full else size
     heads.more, tails.more = {}, {}
     (heads.more if full else heads).update(zip(first, made))
     (tails.more if full else tails).update(zip(after, made[len(first) :], strict=True))
     tail = tails.__getitem__
-    return [[heads[p[0]], *map(tail, r)] if p else [] for p, r in zip(parts, rest, strict=True)]
+    out = [[heads[p[0]], *map(tail, r)] if p else [] for p, r in zip(parts, rest, strict=True)]
+    heads.more, tails.more = {}, {}
+    return out
 
 
 def text_steps(column: pa.Array, limit: int = STEP_BYTES):
@@ -266,24 +280,28 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
-    kind = "pairs with ids" if with_ids else "pairs"
-
     def render(model, ids):
-        return ",".join(map(str, ids)), len(ids), b"".join([model.bytes[i] for i in ids]), ids if with_ids else None
+        return np.array(ids, model.kind).tobytes()
 
     def run(batches):
+        model = coder("pairs", path)[0]
         for batch in batches:
             keys = batch.column(0)
             for i, texts in text_steps(batch.column(1), STEP_CHARS):
-                out = []
-                for units in encode_texts(kind, path, texts, render):
-                    text = ",".join([u[0] for u in units])
-                    back = b"".join([u[2] for u in units]).decode("utf-8", "replace")
-                    row = [sum([u[1] for u in units]), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
-                    out.append([*row, [x for u in units for x in u[3]], back] if with_ids else row)
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-                yield pa.RecordBatch.from_arrays([keys.slice(i, len(texts)).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)]], names=names)
+                rows, found, back = [], [], []
+                for units in encode_texts("pairs", path, texts, render):
+                    ids = np.frombuffer(b"".join(units), model.kind)
+                    each = ids.tolist()
+                    text = b"".join(map(model.bytes.__getitem__, each)).decode("utf-8", "replace")
+                    rows.append((len(each), hashlib.sha256(",".join(map(model.decimal.__getitem__, each)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                    if with_ids:
+                        found.append(ids)
+                        back.append(text)
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                if with_ids:
+                    ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([keys.slice(i, len(texts)).cast(pa.int64()), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(columns)])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
