@@ -7,43 +7,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_buffer
+from .common import range_hashes, steps, text_buffer, words, written
 
-#: Hashed words, and those of them that get a weight.
-HASHED, WEIGHTED = 1 << 18, 1024
+#: Hashed features, and those of them that get a weight.
+FEATURES, WEIGHTED = 1 << 22, 1024
+#: A word's first so many bytes are features too: inflected and joined forms share them.
+PREFIXES = (5, 7, 9)
 #: The model is fitted on at most this many labelled rows, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
 #: Severity grades above 0.
 GRADES = 3
+#: Share of the clean validation rows that the bound of the first grade may call toxic.
+FALSE_ALARMS = 0.02
+#: One labelled row of so many is left out of a first fit, to place that bound.
+VALIDATION = 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count) for the distinct lower-case words of letters of each text."""
-    from .common import words
-
+def word_features(data: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature), distinct and ascending: the lower-case words of letters of each text and their prefixes, those in `wanted` alone."""
     plain = np.where(_LETTER[data], data, np.uint8(32))
-    h, _, _, first = words(plain, off, lower=True)
+    plain[(plain > 64) & (plain < 91)] += 32
+    h, start, stop, first = words(plain, off)
     doc = np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(first))
-    key, count = np.unique(doc * HASHED + (h >> np.uint64(46)).astype(np.int64), return_counts=True)
-    return key // HASHED, key % HASHED, count
+    found = []
+    for k in (0, *PREFIXES):
+        far = stop - start >= k
+        x = h if not k else range_hashes(plain, start[far], start[far] + k) ^ np.uint64(k << 42)
+        f, d = (x >> np.uint64(42)).astype(np.int64), doc[far]
+        if wanted is not None:
+            some = wanted[f]
+            f, d = f[some], d[some]
+        found.append(d * FEATURES + f)
+    key = np.unique(np.concatenate(found))
+    return key // FEATURES, key % FEATURES
+
+
+def _counts(labelled: DataFrame) -> DataFrame:
+    """feature, clean, toxic: how many labelled texts of either class hold it; feature -1 has how many there are."""
+
+    def run(batches):
+        have, n = np.zeros((2, FEATURES), np.int32), np.zeros(2, np.int64)
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            data, off = text_buffer(batch.column(1))
+            n += np.bincount(y, minlength=2)
+            for i, j in steps(off):
+                doc, feature = word_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                for c in (0, 1):
+                    np.add.at(have[c], feature[y[i:j][doc] == c], 1)
+        at = np.flatnonzero(have.any(0))
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(np.r_[-1, at], pa.int32()), "clean": np.r_[n[0], have[0][at]].astype(np.int64), "toxic": np.r_[n[1], have[1][at]].astype(np.int64)})
+
+    return labelled.mapInArrow(run, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def _sparse(docs: DataFrame) -> DataFrame:
-    """grade 0/1 and the word features of labelled texts."""
+def _chosen(counts: DataFrame, clean: int, toxic: int) -> DataFrame:
+    """The WEIGHTED features that tell most: feature, mark (it stands for toxic rows)."""
+    share = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
+    log, gap, both = F.log(share("toxic", toxic) / share("clean", clean)), share("toxic", toxic) - share("clean", clean), F.col("clean") + F.col("toxic")
+    rows = counts.where("feature >= 0").where(both >= 3).withColumn("gain", both * F.abs(log) * F.abs(gap)).where("gain > 0")
+    return rows.select("feature", "gain", ((log > float(np.log(4))) & (F.col("toxic") >= 5)).alias("mark")).orderBy(F.desc("gain"), "feature").limit(WEIGHTED)
+
+
+def _sparse(labelled: DataFrame, chosen: np.ndarray, mark: np.ndarray) -> DataFrame:
+    """h (the row's hash), y, density (share of features that mark toxic rows), places of the chosen features that it holds: at most WEIGHTED."""
 
     def run(batches):
+        place = np.full(FEATURES, -1, np.int16)
+        place[chosen] = np.arange(len(chosen))
+        marks = np.zeros(FEATURES, bool)
+        marks[chosen[mark]] = True
         for batch in batches:
             data, off = text_buffer(batch.column(1))
             for i, j in steps(off):
-                doc, feature, count = word_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int32))) for v in (feature, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["y", "feature", "count"])
+                doc, feature = word_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                density = np.bincount(doc[marks[feature]], minlength=j - i) / np.maximum(np.bincount(doc, minlength=j - i), 1)
+                inside = place[feature] >= 0
+                cut = np.searchsorted(doc[inside], np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(place[feature[inside]]))
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i), pa.array(density), lists], names=["h", "y", "density", "places"])
 
-    return docs.select("y", "text").mapInArrow(run, "y int, feature array<int>, count array<int>")
+    return labelled.select("y", "text", "h").mapInArrow(run, "h long, y int, density double, places array<short>")
 
 
 def severity_grades(toxic: np.ndarray, density: np.ndarray, grades: int = GRADES) -> np.ndarray:
@@ -90,59 +137,67 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.bounds, -60, 60)))
 
 
+def alarm_bound(scores: np.ndarray, toxic: np.ndarray, share: float = FALSE_ALARMS) -> float | None:
+    """The lowest bound, half way between two scores, that at most `share` of the clean rows pass; None without both classes."""
+    clean = np.sort(scores[toxic == 0])[::-1]
+    if not len(clean) or not (toxic == 1).any():
+        return None
+    passing = int(share * len(clean))
+    below = clean[passing]
+    above = scores[scores > below]
+    return float((below + above.min()) / 2) if len(above) else float(below)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grades: int = GRADES):
-    """(feature -> weight over HASHED features, bounds). Labels are labels(doc_id, toxic); null ones are left out.
+    """(features, their weights, bounds). Labels are labels(doc_id, toxic); null ones are left out.
 
-    Fitted on at most max_labelled labelled rows; their ids (a bounded number) are broadcast.
+    Fitted on at most max_labelled labelled rows; their ids (a bounded number) are broadcast. Feature counts are aggregated by
+    Spark; the driver gets the WEIGHTED best and each labelled row's places among them. A first fit without one row of
+    VALIDATION places the bound of the first grade: the labels are few, so unseen toxic words weigh less than seen ones.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_labelled)
-    rows = _sparse(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).toArrow()
-    y = rows.column("y").to_numpy()
-    if not len(y) or y.min() == y.max():
-        return np.zeros(HASHED), np.full(grades, 50.0 if not len(y) or y.max() == 0 else -50.0)
-    lists = rows.column("feature").combine_chunks()
-    lens = lists.value_lengths().to_numpy()
-    feature = lists.flatten().to_numpy()
-    count = rows.column("count").combine_chunks().flatten().to_numpy()
-    doc = np.repeat(np.arange(len(y)), lens)
-    have = np.zeros((2, HASHED))
-    for c in (0, 1):
-        have[c] = np.bincount(feature[y[doc] == c], minlength=HASHED)
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    r = (have + 0.5) / (n[:, None] + 1)
-    # signed square root of the likelihood ratio: strong only with many rows
-    gain = (have[1] + have[0]) * np.abs(np.log(r[1] / r[0])) * np.abs(r[1] - r[0])
-    gain[have.sum(0) < 3] = 0
-    chosen = np.argsort(-gain, kind="stable")[:WEIGHTED]
-    chosen = chosen[gain[chosen] > 0]
-    marks = np.zeros(HASHED, bool)
-    marks[chosen[(np.log(r[1] / r[0])[chosen] > np.log(4)) & (have[1][chosen] >= 5)]] = True
-    size = np.maximum(np.bincount(doc, count, len(y)), 1)
-    density = np.bincount(doc[marks[feature]], count[marks[feature]], len(y)) / size
-    place = np.full(HASHED, -1)
-    place[chosen] = np.arange(len(chosen))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("h"))
+    counts = written(_counts(labelled))
+    n = counts.where("feature = -1").first()
+    if n is None or not n["clean"] or not n["toxic"]:
+        return np.zeros(0, np.int64), np.zeros(0), np.full(grades, 50.0 if n is None or not n["toxic"] else -50.0)
+    best = _chosen(counts, n["clean"], n["toxic"]).collect()
+    chosen, mark = np.array([r["feature"] for r in best], np.int64), np.array([r["mark"] for r in best], bool)
+    rows = _sparse(labelled, chosen, mark).toArrow()
+    h, y, density = (rows.column(c).to_numpy() for c in ("h", "y", "density"))
+    lists = rows.column("places").combine_chunks()
     x = np.zeros((len(y), len(chosen)), np.float32)
-    inside = place[feature] >= 0
-    x[doc[inside], place[feature[inside]]] = 1
-    model = CumulativeLink.fit(x, severity_grades(y, density, grades), grades)
-    weight = np.zeros(HASHED)
-    weight[chosen] = model.weight
-    return weight, model.bounds
+    x[np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
+    order = np.lexsort((density, y, h))
+    x, h, y, grade = x[order], h[order], y[order], severity_grades(y, density, grades)[order]
+    left_out = h % VALIDATION == 0
+    bound = None
+    if left_out.any() and 0 < y[~left_out].sum() < (~left_out).sum():
+        part = CumulativeLink.fit(x[~left_out], grade[~left_out], grades)
+        bound = alarm_bound(x[left_out] @ part.weight - part.bounds[0], y[left_out])
+    model = CumulativeLink.fit(x, grade, grades)
+    return chosen, model.weight, model.bounds + min(0.0, bound or 0.0)
 
 
 def _scorer(docs: DataFrame, labels: DataFrame):
-    """A function from (bytes, offsets) to P(grade >= k) of each text."""
-    weight, bounds = fit_toxicity(docs, labels)
-    model, weight = CumulativeLink(weight, bounds), weight.astype(np.float32)
+    """A function from a column of texts to P(grade >= k) of each text."""
+    chosen, weight, bounds = fit_toxicity(docs, labels)
+
+    def scorer():
+        model, table = CumulativeLink(weight, bounds), np.zeros(FEATURES, np.float32)
+        table[chosen] = weight
+        wanted = table != 0
+
+        def score(column):
+            data, off = text_buffer(column)
+            for i, j in steps(off):
+                doc, feature = word_features(data[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
+                yield i, j, model.at_least(np.bincount(doc, table[feature], j - i))
 
-    def score(column):
-        data, off = text_buffer(column)
-        for i, j in steps(off):
-            doc, feature, _ = word_features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield i, j, model.at_least(np.bincount(doc, weight[feature], j - i))
+        return score
 
-    return score
+    return scorer
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -152,9 +207,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     classes every row gets the one class there is (none: not toxic); an empty table gives no rows; other columns are ignored.
     Returns doc_id, p_toxic (of grade 1 or more), severity (expected grade, 0 to 3), toxic (p_toxic >= threshold).
     """
-    score = _scorer(docs, labels)
+    scorer = _scorer(docs, labels)
 
     def run(batches):
+        score = scorer()
         for batch in batches:
             for i, j, p in score(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array(p[:, 0] >= threshold)], names=["doc_id", "p_toxic", "severity", "toxic"])
@@ -164,9 +220,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score_toxicity would not call toxic."""
-    score, at = _scorer(docs, labels), docs.columns.index("text")
+    scorer, at = _scorer(docs, labels), docs.columns.index("text")
 
     def run(batches):
+        score = scorer()
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for i, j, p in score(batch.column(at)):
