@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, units after numbers and capitalised names become typed placeholders; other words lose their case and punctuation.
-Every window of a benchmark item and of a document is hashed, by its template, or by its raw words where few are no
-placeholder; items below the window's length are hashed whole. Windows that meet give a document, an item and an offset; there the whole item is laid over the document and matching words are counted. A verbatim run of PROOF words is a
-passage; in others each of the item's values must stand for one value of the document.
+Every window of a benchmark item and of a document is hashed by its template; item windows with names, or with few words that
+are no placeholder, by their words too, without case; items below the window's length are hashed whole. Windows that meet give
+a document, an item and an offset; there the whole item is laid over the document and matching words are counted. A verbatim
+run of PROOF words is a passage; in others each of the item's values must stand for one value of the document.
 """
 
 from __future__ import annotations
@@ -22,20 +23,23 @@ _MARKS = ".,;:!?\"'()[]{}"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _words(text: Column) -> Column:
-    """The words without punctuation; marks inside words go too, so nothing moves."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _MARKS, ""), _SPACE), lambda w: w != "")
+_UNIT = rf"(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}|%|\$|€)"
 
 
-def _template_text(text: Column) -> Column:
-    plain = F.translate(F.coalesce(text, F.lit("")), _MARKS, "")
-    named = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+", "<name>")
-    units = F.regexp_replace(named, rf"(?<=\d)([\x20\x09-\x0D]?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}|%|\$|€)(?![\p{{L}}\p{{N}}])", "$1<unit>")
-    return F.lower(F.regexp_replace(units, r"\d+", "<num>"))
+def _plain(text: Column) -> Column:
+    """Without punctuation, marks inside words too, and with a space between a number and its unit, so `120km` is `120 km`."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARKS, ""), rf"(?<=\d)(?={_UNIT}(?![\p{{L}}\p{{N}}]))", " ")
 
 
-def _template(text: Column) -> Column:
-    return F.filter(F.split(_template_text(text), _SPACE), lambda w: w != "")
+def _words(plain: Column) -> Column:
+    """The words of a plain text in lower case; each stands where its template does."""
+    return F.filter(F.split(F.lower(plain), _SPACE), lambda w: w != "")
+
+
+def _template(plain: Column) -> Column:
+    units = F.regexp_replace(plain, rf"(?<=\d[\x20\x09-\x0D]){_UNIT}(?![\p{{L}}\p{{N}}])", "<unit>")
+    named = F.regexp_replace(units, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+", "<name>")
+    return F.filter(F.split(F.lower(F.regexp_replace(named, r"\d+", "<num>")), _SPACE), lambda w: w != "")
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -43,38 +47,63 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, item_words, item_template, at, size, raw, key for every window; an item below the window's length is one by itself.
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (a hash of id and text, so that null and repeated ids keep each text apart), item_id, item_words, item_template."""
+    named = F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "item_id", "text")
+    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().withColumn("item", named)
+    rows = rows.select("item", "item_id", _words(_plain(F.col("text"))).alias("item_words"), _template(_plain(F.col("text"))).alias("item_template"))
+    return rows.where(F.size("item_template") > 0)
+
 
-    Windows with enough words that are no placeholder are keyed by their template, the others and short items by their words."""
-    items = benchmark.select("item_id", _words(F.col("text")).alias("item_words"), _template(F.col("text")).alias("item_template"))
-    items = items.where(F.size("item_template") > 0).withColumn("size", F.least(F.lit(window), F.size("item_template")))
-    at = items.select("*", F.explode(F.sequence(F.lit(0), F.size("item_template") - F.col("size"))).alias("at"))
+def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item, at, size, raw, key for every window; an item below the window's length is one by itself.
+
+    A window with enough words that are no placeholder is keyed by its template. The others, short items, and windows with a
+    name, which other case would hide, are keyed by their words (raw)."""
+    length = F.size("item_template")
+    by_words = F.when(length >= window, _keys(F.col("item_words"), window))
+    for n in range(1, window):
+        by_words = by_words.when(length == n, _keys(F.col("item_words"), n))
+    sized = items.select("item", "item_template", F.least(F.lit(window), length).alias("size"), _keys(F.col("item_template"), window).alias("t"), by_words.alias("w"))
+    at = sized.select("item", "item_template", "size", "t", F.posexplode("w").alias("at", "word_key"))
     part = F.slice("item_template", F.col("at") + 1, F.col("size"))
-    raw = (F.size(F.filter(part, lambda w: ~w.contains("<"))) < LITERAL) | (F.col("size") < window)
-    return at.withColumn("raw", raw).withColumn("key", F.xxhash64(F.when(F.col("raw"), F.slice("item_words", F.col("at") + 1, F.col("size"))).otherwise(part)))
+    by_template = (F.size(F.filter(part, lambda w: ~w.contains("<"))) >= LITERAL) & (F.col("size") == window)
+    named = F.exists(part, lambda w: w.contains("<name>"))
+    each = F.array(F.when(by_template, F.struct(F.lit(False).alias("raw"), F.get("t", F.col("at")).alias("key"))), F.when(~by_template | named, F.struct(F.lit(True).alias("raw"), F.col("word_key").alias("key"))))
+    return at.select("item", "at", "size", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k")).select("item", "at", "size", "k.raw", "k.key")
 
 
-def _keys(words: str, size: int) -> Column:
-    """The key of `size` words at every offset; xxhash64 of several columns is that of their array."""
-    each = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(size)]))
-    return F.when(F.size(words) >= size, each)
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
-def _hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """doc_id and, for each item and offset at which windows meet, the item's words."""
-    held = windows.groupBy("raw", "size").count().collect()
-    raw_sizes = sorted(r["size"] for r in held if r["raw"])
-    texts = _held(docs.select("doc_id", "text"), "template", _template(F.col("text")))
+def _keys(words: Column, size: int) -> Column:
+    """The key of `size` words at every offset, by doubling: two hashes of half windows, which may overlap, make one. Null for shorter texts."""
+    beside = lambda p, far: F.zip_with(p, F.slice(p, far + 1, F.size(p)), lambda a, b: F.xxhash64(a, b))
+
+    def grown(p: Column, have: int) -> Column:
+        if have * 2 <= size:
+            return _let(beside(p, have), lambda q: grown(q, have * 2))
+        return beside(p, size - have) if size > have else p
+
+    each = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: grown(h, 1))
+    return F.when(F.size(words) >= size, F.slice(each, 1, F.size(words) - size + 1))
+
+
+def _hits(docs: DataFrame, windows: DataFrame, held: list, window: int) -> DataFrame:
+    """_row and, for each item and offset at which windows meet, a small hit: texts are joined to it later."""
+    raw_sizes = sorted({r["size"] for r in held if r["raw"]})
+    texts = _held(docs.select("_row", "text"), "plain", _plain(F.col("text"))).select("_row", "plain")
+    texts = _held(texts, "template", _template(F.col("plain")))
     if raw_sizes:
-        texts = _held(texts, "words", _words(F.col("text")))
-    at_all = F.explode(F.array(_keys("template", window), *[_keys("words", n) for n in raw_sizes])).alias("keys")
-    keys = texts.select("doc_id", at_all).select("doc_id", F.posexplode("keys").alias("place", "key"))
-    small = windows.select("key", "item_id", "at")
+        texts = _held(texts, "words", _words(F.col("plain")))
+    at_all = F.explode(F.array(_keys(F.col("template"), window), *[_keys(F.col("words"), n) for n in raw_sizes])).alias("keys")
+    keys = texts.select("_row", at_all).select("_row", F.posexplode("keys").alias("place", "key"))
+    small = windows.select("key", "item", "at").distinct()
     small = F.broadcast(small) if sum(r["count"] for r in held) <= BROADCAST_ROWS else small
-    met = keys.join(small, "key").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("offset")).distinct()
-    items = windows.select("item_id", "item_words", "item_template").distinct()
-    return met.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "offset", "item_words", "item_template")).alias("hits"))
+    met = keys.join(small, "key").select("_row", "item", (F.col("place") - F.col("at")).alias("offset"))
+    return met.groupBy("_row").agg(F.collect_set(F.struct("item", "offset")).alias("hits"))
 
 
 def _consistent(slots: Column) -> Column:
@@ -90,11 +119,12 @@ def _runs(places: Column) -> Column:
 
 
 def _laid(each: DataFrame) -> DataFrame:
-    """Each hit's words laid over the document: `same` are the places of equal template words, `verbatim` those of them that hold one word."""
+    """Each hit's words laid over the document: `same` are the places of equal words or template words, `verbatim` those of equal words."""
     t, w, off = F.col("hit.item_template"), F.col("hit.item_words"), F.col("hit.offset")
     first, last = F.greatest(F.lit(0), -off), F.least(F.size(t), F.size("_template") - off) - 1
-    same = F.when(last >= first, F.filter(F.sequence(first, last), lambda i: F.get(t, i) == F.get(F.col("_template"), i + off))).otherwise(F.array().cast("array<int>"))
-    verbatim = F.filter("same", lambda i: ~F.get(t, i).contains("<") | (F.get(w, i) == F.get(F.col("_words"), i + off)))
+    equal = lambda i: F.get(w, i) == F.get(F.col("_words"), i + off)
+    same = F.when(last >= first, F.filter(F.sequence(first, last), lambda i: equal(i) | (F.get(t, i) == F.get(F.col("_template"), i + off)))).otherwise(F.array().cast("array<int>"))
+    verbatim = F.filter("same", equal)
     slots = F.transform(F.filter("same", lambda i: F.get(t, i).contains("<")), lambda i: F.struct(i.alias("i"), F.get(t, i).alias("t"), F.get(w, i).alias("v"), F.get(F.col("_words"), i + off).alias("d")))
     return _held(_held(_held(each, "same", same), "verbatim", verbatim), "slots", slots)
 
@@ -109,29 +139,39 @@ def _proved() -> Column:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(doc_id, _text, figures of one proved hit); _text is the text's digest."""
-    windows = benchmark_windows(benchmark, window)
-    hits = _hits(docs, windows, window).withColumnRenamed("doc_id", "_id")
-    met = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.md5("text").alias("_text"), _template(F.col("text")).alias("_template"), _words(F.col("text")).alias("_words"), "hits")
-    laid = _laid(met.select("doc_id", "_text", "_template", "_words", F.explode("hits").alias("hit")))
-    return laid.where(_proved()).select("doc_id", "_text", "hit.item_id", "hit.offset", F.size("hit.item_template").alias("item_size"), F.size("same").alias("matched"), F.size("slots").alias("slots"))
+    """(doc_id, _row, figures of one proved hit). _row is a hash of id and text; rows that share one are laid under each other's
+    hits, each by its own text, so a clash costs time alone."""
+    items = _items(benchmark)
+    windows = benchmark_windows(items, window)
+    held = windows.groupBy("raw", "size").count().collect()
+    hits = _hits(docs, windows, held, window)
+    met = docs.join(hits, "_row").select("doc_id", "_row", _template(_plain(F.col("text"))).alias("_template"), _words(_plain(F.col("text"))).alias("_words"), F.explode("hits").alias("_hit"))
+    items = F.broadcast(items) if sum(r["count"] for r in held) <= BROADCAST_ROWS else items
+    hit = F.struct("item_id", "item_words", "item_template", F.col("_hit.offset").alias("offset")).alias("hit")
+    laid = _laid(met.join(items, F.col("_hit.item") == F.col("item")).select("doc_id", "_row", "_template", "_words", hit))
+    return laid.where(_proved()).select("doc_id", "_row", "hit.item_id", "hit.offset", F.size("hit.item_template").alias("item_size"), F.size("same").alias("matched"), F.size("slots").alias("slots"))
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Benchmark items in docs(doc_id, text), verbatim or with other numbers, names and units; benchmark(item_id, text).
 
-    Null and empty texts hold nothing; items of fewer than `window` words, and windows with fewer than LITERAL words that are
-    no placeholder, are met verbatim only. Repeated doc_ids are judged each by its own text, null ones too; repeated items count once;
-    empty tables give no rows; other columns are ignored. One row per document row and item: doc_id, item_id, item_size,
-    matched (words), slots (placeholders among them), offset (of the item's first word in the document's words; of equal
-    matches the first).
+    Null and empty texts hold nothing. Case is ignored, and `120km` is `120 km`. Items of fewer than `window` words, and windows
+    with fewer than LITERAL words that are no placeholder, are met verbatim only. Repeated doc_ids are judged each by its own
+    text, null ones too; equal rows (doc_id and text) give one. A null item_id is an item like any other; one item_id with
+    several texts is met by each of them; repeated items count once. Empty tables give no rows; other columns are ignored.
+    One row per document row and item: doc_id, item_id, item_size, matched (words), slots (placeholders among them), offset
+    (of the item's first word in the document's words; of equal matches the first).
     """
-    each = _found(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window)
-    best = each.groupBy("doc_id", "_text", "item_id").agg(F.max(F.struct("matched", -F.col("offset"), "item_size", "slots")).alias("b"))
+    each = _found(docs.select("doc_id", "text").withColumn("_row", _row()), benchmark, window)
+    best = each.groupBy("doc_id", "_row", "item_id").agg(F.max(F.struct("matched", -F.col("offset"), "item_size", "slots")).alias("b"))
     return best.select("doc_id", "item_id", "b.item_size", "b.matched", "b.slots", (-F.col("b.col2")).alias("offset"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, in which find_contamination finds no item."""
-    bad = _found(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window).select(F.col("doc_id").alias("_id"), "_text").distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(docs["text"]) == F.col("_text")), "left_anti")
+    bad = _found(docs.select("doc_id", "text").withColumn("_row", _row()), benchmark, window).select(F.col("doc_id").alias("_id"), "_row").distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == F.col("_row")), "left_anti")
