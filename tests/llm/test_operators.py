@@ -18,7 +18,7 @@ from verisift.llm.sharding import minimax_cuts, shard_by_bytes
 from verisift.llm.substring_dedup import dedup_substrings, keep_first_spans
 from verisift.llm.token_files import token_files
 from verisift.llm.tokens import PairIndexBPE, encode_documents
-from verisift.llm.toxicity import drop_toxic, score_toxicity
+from verisift.llm.toxicity import alarm_bound, drop_toxic, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, b long, g int, id long, run int"
@@ -193,8 +193,26 @@ def test_held_out_accuracy(spark):
     assert x.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     y = score_quality(d, labels).where("held_out").join(labels, "doc_id")
     assert y.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93
-    z = score_toxicity(d, labels).join(labels.withColumnRenamed("toxic", "said"), "doc_id")
-    assert z.agg(F.avg((F.col("toxic") == (F.col("said") == 1)).cast("double"))).first()[0] > 0.95
+
+
+def test_toxicity_of_rows_that_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    unseen = F.pmod(F.xxhash64(F.col("doc_id") + 7), F.lit(2)) == 0
+    z = score_toxicity(d, labels.where(~unseen)).join(labels.where(unseen).select("doc_id", F.col("toxic").alias("said")), "doc_id")
+    rates = {r["said"]: r["rate"] for r in z.groupBy("said").agg(F.avg(F.col("toxic").cast("int")).alias("rate")).collect()}
+    assert rates[1] > 0.85 and rates[0] < 0.04, rates
+
+
+def test_bound_of_false_alarms():
+    scores, toxic = np.array([5.0, 4, 3, 2, 1, 0, -1, -2]), np.array([1, 1, 0, 1, 0, 0, 0, 0])
+    assert alarm_bound(scores, toxic, 0) == 3.5 and alarm_bound(scores, toxic, 0.2) == 1.5 and alarm_bound(scores, toxic * 0, 0.2) is None
+
+
+def test_toxicity_without_usable_labels(spark, odd):
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    for rows, said in (([], 0), ([(1, None), (None, 1)], 0), ([(4, 0), (6, 0)], 0), ([(4, 1), (6, 1)], odd.count())):
+        assert score_toxicity(odd, labels(rows)).where("toxic").count() == said
 
 
 def test_toxicity(spark, table):
@@ -253,6 +271,44 @@ def test_items_are_met_at_every_offset(spark):
     assert got == [(i, i // 100, i % 100) for i, _ in rows]
 
 
+def test_case_units_and_item_ids(spark):
+    named = "In March Anna Weber of Bonn sold Carl Braun 7 old boats"
+    far = "the ferry needs 120km of calm water and 3 kg of coal before it can reach the small island"
+    texts = [named.upper(), named.lower(), far.replace("120km", "120 km").replace("3 kg", "3kg"), far.upper(), "another text of the same item that nobody else would ever write like this"]
+    docs = spark.createDataFrame([(i, f"some filler {t} more filler") for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, named), (1, far), (1, texts[4]), (1, far)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["offset"]) for r in find_contamination(docs, bench).collect()), key=str)
+    assert got == [(0, None, 2), (1, None, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2)]
+    assert drop_contaminated(docs, bench).count() == 0
+
+
+@pytest.mark.parametrize("size", range(1, 10))
+def test_window_keys_tell_windows_apart(spark, size):
+    from verisift.llm.decontamination import _keys
+
+    lists = [list("abcabcabcdabcabcab"), list("cabcab"), ["a"] * 9, []]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, w array<string>").select("i", _keys(F.col("w"), size).alias("k")).collect()
+    seen = {}
+    for r in rows:
+        windows = [tuple(lists[r["i"]][j : j + size]) for j in range(len(lists[r["i"]]) - size + 1)]
+        assert len(windows) == len(r["k"] or [])
+        for w, k in zip(windows, r["k"] or [], strict=True):
+            assert seen.setdefault(w, k) == k
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_long_texts_hash_like_short_ones():
+    from verisift.llm.common import HASH_BYTES, words as hashed
+
+    parts = [b"one two", b"x" * (HASH_BYTES + 5), b" ".join(b"w%d" % (i % 5000) for i in range(200_000)), b"", b"two one"]
+    data, off = np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(p) for p in parts])]
+    h, start, stop, first = hashed(data, off)
+    found = {}
+    for a, z, x in zip(start.tolist(), stop.tolist(), h.tolist(), strict=True):
+        assert found.setdefault(bytes(data[a:z]), x) == x
+    assert len(set(found.values())) == len(found) == 5003 and np.diff(first).tolist() == [len(p.split()) for p in parts]
+
+
 def test_one_row_stays_of_each_component(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (7, a), (7, a + " more"), (None, a.upper()), (None, b), (None, b + " more"), (4, c), (4, c), (4, "apart"), (None, None), (9, "")]
