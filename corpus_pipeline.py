@@ -14,23 +14,28 @@ from verisift.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows called toxic by the model learnt from `labels` go; null and empty texts stay."""
     return drop_toxic(docs, lookup_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near duplicates stays; rows without words stay, of equal ones one."""
     return keep_one_per_component(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that a smaller doc_id holds too are cut out of `text`; rows that lose every word go."""
     return keep_first_spans(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold an item of `benchmark` go."""
     return drop_contaminated(docs, lookup_table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, tokenizer_path())
+    """The end product: doc_id, n_tokens, ids (array<int>), and digests of the ids and of the text decoded from them."""
+    return encode_documents(docs, tokenizer_path(), with_ids=True).drop("decoded")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substrings", substrings), ("decontamination", decontamination), ("tokenise", tokenise)]
