@@ -41,3 +41,36 @@ CLAIM_HINT = r"(?i)\d|increase|decrease|higher|lower|more|less|significant|outpe
 RENDER_TOKENS = r"(?:italic_|start_POSTSUBSCRIPT|end_POSTSUBSCRIPT|POSTSUPERSCRIPT)\s*"
 ASPECT_WEIGHTS = {"numeric": 0.3, "entity": 0.2, "relation": 0.2, "trend": 0.15, "completeness": 0.15}
 TYPE_PRIORITY = ("Comparative Analysis", "Descriptive/Quantitative", "Descriptive/Quantitative Analysis", "Causal Reasoning", "Methodological Analysis", "Conceptual Understanding", "Critical Evaluation")
+
+# The patterns of the whole-text classifier, the units that stand for each other.
+CLASSIFIER_NUMERIC = (
+    r"(?i)(?:\d+\.\d+\s*%|\d+\s*%|\d+\.\d+\s*(?:dB|ms|s|nm|mum|mm|cm|Hz|kHz|MHz|GHz|eV|keV|MeV)"
+    r"|\b\d+\.\d{1,4}\b|(?:=|is|of|at|by|to)\s*\d+(?:\.\d+)?|\bp\s*[<>=]\s*\d)"
+)
+CLASSIFIER_METRIC = (
+    r"(?i)(?:(?:accuracy|precision|recall|F1|BLEU|ROUGE|METEOR|CIDEr|perplexity|loss|AUC|mAP|IoU|PSNR|SSIM|FID)"
+    r"|(?:error rate|success rate|hit rate|top-\d+|rank-\d+))"
+)
+CLASSIFIER_METRIC_BIO = (
+    r"(?i)(?:(?:concentration|intensity|fluorescence|expression|fold[ -]change|abundance|viability|survival)"
+    r"|(?:IC50|EC50|Kd|Ki|half-life|melting point|wavelength|frequency|energy|voltage|current|resistance)"
+    r"|(?:p-value|significance|correlation|coefficient|R\^?2|chi-square)"
+    r"|(?:mean|median|SD|SEM|standard deviation|confidence interval|CI))"
+)
+CLASSIFIER_COMPARISON = (
+    r"(?i)(?:\b(?:outperform|surpass|exceed|superior|inferior|better|worse|higher|lower|greater|less|more|fewer)\b"
+    r"|\b(?:compared?\s+(?:to|with)|relative\s+to|versus|vs\.?)\b"
+    r"|\b(?:significant(?:ly)?\s+(?:higher|lower|better|worse|more|less|greater|fewer|increased|decreased|improved|reduced))\b"
+    r"|\b(?:rank(?:s|ed)?\s+(?:first|second|third|last|highest|lowest))\b)"
+)
+CLASSIFIER_TREND = (
+    r"(?i)(?:\b(?:increas|decreas|grow|shrink|rise|fall|climb|drop|declin|improv|degrad|escalt|diminish)\w*\b"
+    r"|\b(?:upward|downward|ascending|descending|monoton)\w*\b|\b(?:converge|diverge|plateau|saturat|stabiliz)\w*\b"
+    r"|\b(?:scales?\s+(?:with|linearly|logarithmically|exponentially))\b"
+    r"|\b(?:positive|negative|inverse|direct)\s+(?:correlation|relationship|trend)\b)"
+)
+CLASSIFIER_QUALITATIVE = (
+    r"(?i)(?:\b(?:suggest|indicate|demonstrate|reveal|show|imply|observe|note|appear|seem)\b"
+    r"|\b(?:important|notable|interesting|striking|remarkable|consistent|similar|distinct)\b)"
+)
+UNIT_ALIASES = {"%": "%", "\\%": "%", "percent": "%", "dB": "dB", "ms": "ms", "s": "s"}

@@ -14,10 +14,14 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def first_seen(values: Column, key=lambda x: x) -> Column:
     """Array values without later ones of an equal key; nulls stay apart from values."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(values, lambda v: let(F.transform(v, key), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
 
 
 def record_name(name: Column) -> Column:

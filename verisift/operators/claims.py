@@ -115,7 +115,7 @@ def trend_verdict(said: Column, found: Column) -> Column:
 def lexical_parts(claim: Column, evidence: Column) -> Column:
     """Token F1, entity coverage, numeric consistency."""
     f1 = t.set_f1(t.word_set(claim), t.word_set(evidence))
-    names = F.array_distinct(t.all_matches(claim, r"\b[A-Z][\w\-]+\b"))
+    names = F.array_distinct(t.all_matches(claim, r"(?U)\b[A-Z][\w\-]+\b"))
     low = F.lower(evidence)
     coverage = F.when(F.size(names) == 0, 0.5).otherwise(F.size(F.filter(names, lambda e: low.contains(F.lower(e)))) / F.size(names))
     own, other = t.number_strings(claim), t.number_strings(evidence)

@@ -4,24 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import hashed_rank
-from .sampling import mispair, perturb_numbers, rank_within, sample_exact
-
-
-def numbered(df: DataFrame, key: str, salt: str = "42") -> tuple[DataFrame, int]:
-    """(df with `place` from 0 in the hashed order, number of rows): ranges are counted, their prefix sums are the bases."""
-    h = hashed_rank(F.col(key), salt)
-    at = df.repartitionByRange(h, F.col(key)).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(h, key)))
-    base, total = {}, 0
-    for r in at.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # one row per partition
-        base[r["_p"]] = total
-        total += r["n"]
-    start = F.create_map(*[F.lit(x) for kv in (base or {0: 0}).items() for x in kv])
-    return at.withColumn("place", (start[F.col("_p")] + F.col("_i") - 1).cast("long")).drop("_p", "_i"), total
+from .sampling import mispair, numbered, perturb_numbers, rank_within, sample_exact
 
 
 def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str = "42") -> DataFrame:

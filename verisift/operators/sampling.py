@@ -25,47 +25,87 @@ def quota_sample(df: DataFrame, group: str, quotas: dict, key: str, salt: str =
     return rank_within(df.where(F.col(group).isin(*quotas)), [group], key, salt).where(F.col("rank") <= quota[F.col(group)]).drop("rank")
 
 
-def split_train_val(df: DataFrame, key: str, share: float = 0.005, salt: str = "42") -> DataFrame:
-    """`val` for the first max(int(n * share), 1) rows of the hashed order: their bound is the hash of the last of them."""
-    n = df.count()
-    k = max(int(n * share), 1)
-    top = df.select(hashed_rank(F.col(key), salt).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(k).agg(F.max(F.struct("h", "k")).alias("last")).first()["last"]
-    if top is None:
-        return df.withColumn("split", F.lit("train"))
-    h = hashed_rank(F.col(key), salt)
-    return df.withColumn("split", F.when((h < top["h"]) | ((h == top["h"]) & (F.col(key) <= top["k"])), "val").otherwise("train"))
+#: The hash range falls into 2 ** INTERVAL_BITS equal intervals: so many counts are what numbering and splitting work with.
+INTERVAL_BITS = 14
+
+
+def _interval(h):
+    return F.shiftright(h, 32 - INTERVAL_BITS).cast("int")
 
 
-def stratified_split(df: DataFrame, strata: list[str], key: str, train: float = 0.9, salt: str = "42") -> DataFrame:
-    """Per stratum max(1, half-even round of n * (1 - train)) rows for validation, n - 1 at most but one."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    val = F.greatest(F.lit(1), F.least(F.bround(n * (1 - train)).cast("long"), F.greatest(F.lit(1), n - 1)))
-    return rank_within(df, strata, key, salt).withColumn("split", F.when(F.col("rank") <= val, "val").otherwise("train")).drop("rank")
+def _placed(df: DataFrame, key: str, salt: str) -> DataFrame:
+    return df.withColumn("_h", F.coalesce(hashed_rank(F.col(key), salt), F.lit(0))).withColumn("_b", _interval(F.col("_h")))
 
 
-def oversample(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Every class repeated to the size of the largest one; row r of n is repeated ceil((largest - r) / n) times."""
+def numbered(df: DataFrame, key: str, salt: str = "42") -> tuple[DataFrame, int]:
+    """(df with `place` from 0 in the hashed order, number of rows). Intervals of the hash are fixed, so counts and places that
+    are worked out in different jobs agree; the rows before an interval are a running sum over at most 2 ** INTERVAL_BITS counts."""
+    at = _placed(df, key, salt)
+    sizes = at.groupBy("_b").agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("_b", before.alias("_base"))
+    within = at.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
+    return within.join(F.broadcast(base), "_b").withColumn("place", (F.col("_base") + F.col("_i") - 1).cast("long")).drop("_h", "_b", "_i", "_base"), total
+
+
+def split_train_val(df: DataFrame, key: str, share: float = 0.005, salt: str = "42") -> DataFrame:
+    """`val` for the first max(int(n * share), 1) rows of the hashed order. Counts of hash intervals tell in which one the last of
+    them lies, and only that interval is ranked."""
+    at = _placed(df.select(key), key, salt)
+    sizes = at.groupBy("_b").agg(F.count("*").alias("n")).orderBy("_b").collect()  # at most 2 ** INTERVAL_BITS rows
+    k, seen = max(int(sum(r["n"] for r in sizes) * share), 1), 0
+    for r in sizes:
+        if seen + r["n"] >= k:
+            break
+        seen += r["n"]
+    else:
+        return df.withColumn("split", F.lit("train"))
+    top = at.where(F.col("_b") == r["_b"]).select("_h", F.col(key).alias("k")).orderBy("_h", "k").limit(k - seen).agg(F.max(F.struct("_h", "k")).alias("last")).first()["last"]
+    h = F.coalesce(hashed_rank(F.col(key), salt), F.lit(0))
+    return df.withColumn("split", F.when((h < top["_h"]) | ((h == top["_h"]) & F.coalesce(F.col(key) <= top["k"], F.lit(True))), "val").otherwise("train"))
+
+
+def stratified_split(df: DataFrame, strata: list[str], key: str, train: float = 0.9, salt: str = "42", least=None) -> DataFrame:
+    """Per stratum max(1, half-even round of n * (1 - train), least) rows for validation, n - 1 at most but one.
+
+    least: a column of the strata's, the fewest validation rows (for changed rows, say). A stratum may be a third of all rows: counts
+    per stratum and hash interval tell in which interval its last validation row lies, and only those intervals are ranked."""
+    at = _placed(df.select(key, *strata, (F.lit(0) if least is None else least).cast("long").alias("_least")), key, salt)
+    sizes = at.groupBy(*strata, "_b").agg(F.count("*").alias("_n"), F.max("_least").alias("_least"))
+    whole = Window.partitionBy(*strata)
+    n = F.sum("_n").over(whole)
+    want = F.greatest(F.lit(1), F.least(F.greatest(F.bround(n * (1 - train)).cast("long"), F.max("_least").over(whole)), F.greatest(F.lit(1), n - 1)))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sizes.select(*strata, "_b", before.alias("_before"), want.alias("_want"), "_n").where("_before < _want and _before + _n >= _want")
+    bounds = cut.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))
+    on = None
+    for i, s in enumerate(strata):
+        on = F.col(s).eqNullSafe(F.col(f"_s{i}")) if on is None else on & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    placed = _placed(df, key, salt).join(bounds, on, "left")
+    ranked = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*strata, F.when(F.col("_b") == F.col("_cut"), F.lit(-1)).otherwise(F.col("_b"))).orderBy("_h", key)))
+    val = (F.col("_b") < F.col("_cut")) | ((F.col("_b") == F.col("_cut")) & (F.col("_i") <= F.col("_left")))
+    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).select(*df.columns, "split")
+
+
+def oversample(df: DataFrame, label: str, key: str, factors: dict | None = None) -> DataFrame:
+    """Every class repeated to the size of the largest one, times its factor (at least 1); row r of n is repeated
+    ceil((wanted - r) / n) times."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n").alias("most"))
-    ranked = rank_within(df, [label], key).join(F.broadcast(sizes.crossJoin(most)), label)
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    factor = F.lit(1.0)
+    for k, f in (factors or {}).items():
+        factor = F.when(F.col(label) == k, float(max(1.0, f))).otherwise(factor)
+    ranked = rank_within(df, [label], key).join(sizes.withColumn("most", F.floor(F.lit(most) * factor)), label)
     times = F.ceil((F.col("most") - F.col("rank") + 1) / F.col("n")).cast("int")
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("rank", "n", "most")
+    return ranked.where(times >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("rank", "n", "most")
 
 
 def mispair(df: DataFrame, key: str, keep: str, salt: str = "42") -> DataFrame:
     """Each row with the `keep` value of the next row in hashed order, the last with that of the first. Never its own for n > 1."""
-    h = hashed_rank(F.col(key), salt)
-    ordered = df.withColumn("_h", h).repartitionByRange(F.col("_h"), F.col(key)).sortWithinPartitions("_h", key)
-    at = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
-    ends = at.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row per partition
-    base, total = {}, 0
-    for r in ends:
-        base[r["_p"]] = total
-        total += r["n"]
-    start = F.create_map(*[F.lit(x) for kv in (base or {0: 0}).items() for x in kv])
-    numbered = at.withColumn("_n", start[F.col("_p")] + F.col("_i") - 1)
-    other = numbered.select(((F.col("_n") + total - 1) % F.lit(max(total, 1))).alias("_n"), F.col(keep).alias(f"other_{keep}"), F.col(key).alias(f"other_{key}"))
-    return numbered.join(other, "_n").drop("_h", "_p", "_i", "_n")
+    rows, total = numbered(df, key, salt)
+    other = rows.select(((F.col("place") + total - 1) % F.lit(max(total, 1))).alias("place"), F.col(keep).alias(f"other_{keep}"), F.col(key).alias(f"other_{key}"))
+    return rows.join(other, "place").drop("place")
 
 
 def normalise_groups(df: DataFrame, group: str, value: str, clip: float | None = 2.0, sample: bool = False) -> DataFrame:

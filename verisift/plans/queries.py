@@ -12,7 +12,7 @@ from ..operators import html_tables as ht
 from ..operators import metrics as m
 from ..operators import sampling as s
 from ..sources.evidence import CLAIMS_SQL, RECORDS_SQL, fact_records, rendered_claims, table
-from . import construction, responses  # noqa: F401  (they register their queries)
+from . import construction, layers, responses  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
 
