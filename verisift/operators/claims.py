@@ -112,15 +112,19 @@ def trend_verdict(said: Column, found: Column) -> Column:
     return F.when(found == "unknown", None).when(flat(said) == flat(found), 0.8).otherwise(-0.8)
 
 
+def numeric_consistency(claim: Column, evidence: Column) -> Column:
+    """The share of the claim's numbers, as they are written, that the evidence holds; 0.5 without any, 0.3 if the evidence has none."""
+    own, other = t.number_strings(claim), t.number_strings(evidence)
+    return F.when(F.size(own) == 0, 0.5).when(F.size(other) == 0, 0.3).otherwise(F.size(F.array_intersect(own, other)) / F.size(own))
+
+
 def lexical_parts(claim: Column, evidence: Column) -> Column:
     """Token F1, entity coverage, numeric consistency."""
     f1 = t.set_f1(t.word_set(claim), t.word_set(evidence))
     names = F.array_distinct(t.all_matches(claim, r"(?U)\b[A-Z][\w\-]+\b"))
     low = F.lower(evidence)
     coverage = F.when(F.size(names) == 0, 0.5).otherwise(F.size(F.filter(names, lambda e: low.contains(F.lower(e)))) / F.size(names))
-    own, other = t.number_strings(claim), t.number_strings(evidence)
-    numeric = F.when(F.size(own) == 0, 0.5).when(F.size(other) == 0, 0.3).otherwise(F.size(F.array_intersect(own, other)) / F.size(own))
-    return F.struct(f1.alias("f1"), coverage.alias("coverage"), numeric.alias("numeric"))
+    return F.struct(f1.alias("f1"), coverage.alias("coverage"), numeric_consistency(claim, evidence).alias("numeric"))
 
 
 def lexical_reward(parts: Column, evidence: Column) -> Column:

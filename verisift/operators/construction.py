@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -62,8 +63,30 @@ def level_counts(n: int, shares: dict[float, float]) -> dict[float, int]:
     return {level: int(n * share) for level, share in shares.items()}
 
 
+def class_counts(total: int, shares: tuple[float, float, float]) -> tuple[int, int, int]:
+    """Rounded rows per class; the last class takes what is left."""
+    first, second = round(total * shares[0]), round(total * shares[1])
+    return first, second, max(0, total - first - second)
+
+
+def level_reserve(levels, train: float, least: int) -> dict[float, int]:
+    """Rows that each level needs so that its validation part holds `least`: ceil(least / (1 - train)) + 4."""
+    return {level: math.ceil(round(least / (1 - train), 9)) + 4 for level in levels}
+
+
+def level_plan(contradicts: int, levels, train: float, least: int) -> dict[float, int]:
+    """The reserve of each level, topped up in turn to the class's rows. Raises if the reserves alone need more."""
+    plan = level_reserve(levels, train, least)
+    missing = contradicts - sum(plan.values())
+    if missing < 0:
+        raise ValueError(f"{contradicts} rows can't hold the reserves {plan}")
+    each, over = divmod(missing, len(plan))
+    return {level: n + each + (i < over) for i, (level, n) in enumerate(plan.items())}
+
+
 def class_mix(df: DataFrame, key: str, text: str, entails: int, neutral: int, contradicts: dict[float, int]) -> DataFrame:
-    """(key, text, label, ratio): rows as they are, rows with another row's text, and rows with changed numbers per level.
+    """(key, text, label, ratio, place): rows as they are, rows with another row's text, and rows with changed numbers per
+    level, permuted: `place` is their order by a hash.
 
     Each part draws by its own salt. A part that can't be filled raises, as a short class would pass unseen."""
     one = df.select(key, text).where(F.col(text).isNotNull())
@@ -80,10 +103,41 @@ def class_mix(df: DataFrame, key: str, text: str, entails: int, neutral: int, co
     short = {k: (n, got.get(k, 0)) for k, n in want.items() if got.get(k, 0) < n}
     if short:
         raise ValueError(f"too few rows for (label, ratio): (wanted, found) {short}")
-    return out
+    named = out.withColumn("_k", F.concat_ws("#", F.col(key).cast("string"), F.col("label").cast("string"), F.col("ratio").cast("string")))
+    return numbered(named, "_k", "permute")[0].drop("_k")
+
+
+#: Sentences of synthetic rows; their wording is our own.
+TEMPLATES = ("Model {i} reaches an accuracy of {v}%.", "The loss of run {i} falls to {v}.", "System {i} needs {v} ms per step.", "Method {i} scores {v} on the test set.", "Variant {i} improves recall by {v} points.")
+
+
+def synthetic_rows(spark, n: int, width: int = 8) -> DataFrame:
+    """N rows (id, text, label, features): five templates in turn with hashed values, and features around the class's centre."""
+    h = lambda salt: hashed_rank(F.col("id"), salt)
+    value = ((h("value") % 1000) / 10.0).cast("string")
+    text = F.array(*[F.replace(F.replace(F.lit(t), F.lit("{i}"), F.col("id").cast("string")), F.lit("{v}"), value) for t in TEMPLATES])
+    noise = lambda i: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), i.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32) - 0.5
+    rows = spark.range(n).withColumn("label", (h("label") % 3).cast("int"))
+    return rows.select("id", F.get(text, (F.col("id") % len(TEMPLATES)).cast("int")).alias("text"), "label", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("label") - 1.0 + noise(i)).alias("features"))
+
+
+def png_size(content: Column) -> Column:
+    """IO16: (width, height) from a PNG's header; null for other files."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def shrunk(width: Column, height: Column, longest: int = 2048) -> Column:
+    """IO16: the size after the longest side is cut to `longest`; smaller images stay."""
+    scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
+    return F.struct(F.greatest(F.lit(1), F.floor(width * scale)).alias("width"), F.greatest(F.lit(1), F.floor(height * scale)).alias("height"))
+
 
+def image_status(files: DataFrame, most_bytes: int = 64 << 20, most_pixels: int = 80_000_000) -> DataFrame:
+    """IO16: the guards of a safe image scan: path, length and a reason (`missing`, `empty`, `too_many_bytes`, `too_many_pixels`, `ok`).
 
-def image_status(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """IO16: the byte guard of a safe image scan: path, length and a reason (`missing`, `empty`, `too_many_bytes`, `ok`)."""
+    With a `content` column PNG sizes are probed; other formats have the byte guard alone."""
     n = F.col("length")
-    return files.select("path", "length", F.when(n.isNull(), "missing").when(n == 0, "empty").when(n > most_bytes, "too_many_bytes").otherwise("ok").alias("reason"))
+    size = png_size(F.col("content")) if "content" in files.columns else F.lit(None).cast("struct<width:long,height:long>")
+    many = F.coalesce(size["width"] * size["height"] > most_pixels, F.lit(False))
+    return files.select("path", "length", F.when(n.isNull(), "missing").when(n == 0, "empty").when(n > most_bytes, "too_many_bytes").when(many, "too_many_pixels").otherwise("ok").alias("reason"))

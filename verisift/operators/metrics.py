@@ -62,12 +62,80 @@ def level_bands(df: DataFrame, ratio: str) -> DataFrame:
     return df.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, fixed.LEVELS)), near)))
 
 
-def sensitivity(df: DataFrame, ratio: str, predicted: str, least: int = 5) -> DataFrame:
-    """Detection rate per level of at least `least` rows, and whether the 5 % level reaches 0.6."""
-    per = level_bands(df, ratio).groupBy("level").agg(F.count("*").alias("n"), F.avg((F.col(predicted) == 2).cast("double")).alias("rate")).where(F.col("n") >= least)
+def sensitivity(df: DataFrame, ratio: str, predicted: str, least: int = 5, prob2: str | None = None) -> DataFrame:
+    """Detection rate (and mean probability of class 2) per level of at least `least` rows, and whether the 5 % level reaches 0.6."""
+    more = [F.avg(prob2).alias("mean_prob")] if prob2 else []
+    per = level_bands(df, ratio).groupBy("level").agg(F.count("*").alias("n"), F.avg((F.col(predicted) == 2).cast("double")).alias("rate"), *more).where(F.col("n") >= least)
     return per.withColumn("meets", F.when(F.col("level") == 0.05, F.col("rate") >= 0.6))
 
 
+def sensitivity_target(per_level: DataFrame, level: float = 0.05, least: float = 0.6) -> DataFrame:
+    """Whether the level's rate reaches the target; false where the level is missing."""
+    return per_level.agg(F.coalesce(F.bool_or((F.col("level") == level) & (F.col("rate") >= least)), F.lit(False)).alias("meets"))
+
+
+def policy_sensitivity(df: DataFrame, ratio: str, found: str, synthetic: DataFrame | None = None) -> DataFrame:
+    """Rate per ratio rounded to two places, of changed rows (ratio above 0); of `synthetic` rows where there is none of them.
+    The flag `synthetic_used` says which: it is true for synthetic rows alone."""
+    per = lambda d, flag: d.where(F.col(ratio) > 0).groupBy(F.bround(F.col(ratio) * 100).cast("int").alias("percent")).agg(F.count("*").alias("n"), F.avg(F.col(found).cast("double")).alias("rate")).withColumn("synthetic_used", F.lit(flag))
+    own = per(df, False)
+    return own if synthetic is None or not df.where(F.col(ratio) > 0).isEmpty() else per(synthetic, True)
+
+
+def noisy(vector: str, key: Column, scale: float = 0.05) -> Column:
+    """The vector with noise of about a normal distribution: per entry the sum of four uniform numbers from one hash."""
+    def noise(i):
+        h = F.md5(F.concat(key.cast("string"), F.lit("#"), i.cast("string")))
+        total = sum((F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("double") for k in range(4)), F.lit(0.0))
+        return (total / float(1 << 32) - 2.0) * (3.0**0.5)
+
+    return F.transform(vector, lambda x, i: x.cast("double") + scale * noise(i))
+
+
+def robustness(df: DataFrame, predicted: Column) -> DataFrame:
+    """The share of rows that aren't called class 2; 0 without rows."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.avg((predicted != 2).cast("double")), F.lit(0.0)).alias("share"))
+
+
+def label_distribution(df: DataFrame, by: str, label: str) -> DataFrame:
+    """Rows and share of each label within each group."""
+    per = df.groupBy(by, label).agg(F.count("*").alias("n"))
+    return per.join(df.groupBy(by).agg(F.count("*").alias("of")), by).select(by, label, "n", (F.col("n") / F.col("of")).alias("share"))
+
+
+def go_summary(checks: DataFrame) -> DataFrame:
+    """checks(name, passed): go if all pass, how many do, and the names of those that fail (a null doesn't pass)."""
+    ok = F.coalesce("passed", F.lit(False))
+    return checks.agg(F.coalesce(F.bool_and(ok), F.lit(False)).alias("go"), F.count_if(ok).alias("passed"), F.array_sort(F.collect_list(F.when(~ok, F.col("name")))).alias("failed"))
+
+
+def report_lines(figures: DataFrame, name: str, value: str, width: int = 24) -> DataFrame:
+    """One line of text per figure."""
+    return figures.select(F.format_string(f"%-{width}s %10.4f", F.col(name), F.col(value).cast("double")).alias("line"))
+
+
+def epoch_rollup(df: DataFrame, step: str, every: int, value: str, layers: list[str]) -> DataFrame:
+    """Per epoch the steps, mean and best of value, and per layer the values of its steps in order."""
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(step, c))), lambda x: x[c]).alias(f"{c}_path")
+    return df.groupBy(F.floor(F.col(step) / every).alias("epoch")).agg(F.count("*").alias("steps"), F.avg(value).alias("mean"), F.max(value).alias("best"), *[ordered(c) for c in layers])
+
+
+def best_checkpoint(df: DataFrame, run: str, epoch: str, score: Column) -> DataFrame:
+    """Per run the epoch of the highest score, the first on ties."""
+    return df.withColumn("_s", score).groupBy(run).agg(F.max_by(epoch, F.struct("_s", -F.col(epoch))).alias("best_epoch"), F.max("_s").alias("score"))
+
+
+def checkpoint_scores(reward: Column, p1: Column, p2: Column, p3: Column, ratio: Column) -> dict[str, Column]:
+    """The three selection scores."""
+    return {"reward": reward, "gates": p1 + F.when(p2, 0.05).otherwise(0.0) + p3 * 0.05, "mixed": reward + ratio * 0.3}
+
+
+def sample_averages(df: DataFrame, by: str, images: str, answer: str, thought: str) -> DataFrame:
+    """Per group the mean number of images, the mean answer length, and the percentage of rows with a chain of thought."""
+    has = F.coalesce(F.trim(F.col(thought)) != "", F.lit(False)).cast("double")
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.array_size(images), F.lit(0))).alias("mean_images"), F.avg(F.length(F.coalesce(answer, F.lit("")))).alias("mean_answer"), (F.avg(has) * 100.0).alias("thought_pct"))
+
+
 def majority(df: DataFrame, key: str, label: str) -> DataFrame:
     """The most frequent label, the smallest on ties."""
     return df.groupBy(key, label).agg(F.count("*").alias("n")).groupBy(key).agg(F.max_by(label, F.struct("n", -F.col(label))).alias("label"))

@@ -22,8 +22,12 @@ def first_text(*columns: Column) -> Column:
 def unnest_papers(papers: DataFrame) -> DataFrame:
     """One row per entry of the three maps id -> (table_html, html, caption, capture, label): paper_id, table_ord (maps in
     their order, entries by id), table_id, html, caption. Null maps and null entries give none."""
-    tagged = [F.transform(F.array_sort(F.map_entries(F.coalesce(m, F.create_map().cast(papers.schema[m].dataType)))), lambda e, m=m: F.struct(F.lit(m).alias("kind"), e["key"].alias("table_id"), e["value"].alias("t"))) for m in TABLE_MAPS]
-    each = papers.select("paper_id", F.posexplode(F.filter(F.concat(*tagged), lambda e: e["t"].isNotNull())).alias("table_ord", "e"))
+
+    def tagged(name: str) -> Column:
+        entries = F.array_sort(F.map_entries(F.coalesce(name, F.create_map().cast(papers.schema[name].dataType))))
+        return F.transform(entries, lambda e: F.struct(F.lit(name).alias("kind"), e["key"].alias("table_id"), e["value"].alias("t")))
+
+    each = papers.select("paper_id", F.posexplode(F.filter(F.concat(*map(tagged, TABLE_MAPS)), lambda e: e["t"].isNotNull())).alias("table_ord", "e"))
     t = F.col("e.t")
     main, other = first_text(t["table_html"], t["html"]), first_text(t["html"], t["table_html"])
     return each.select("paper_id", "table_ord", "e.table_id", F.when(F.col("e.kind") == TABLE_MAPS[0], main).otherwise(other).alias("html"), first_text(t["caption"], t["capture"], t["label"]).alias("caption"))

@@ -144,16 +144,21 @@ def early_stop(df: DataFrame, run: str, step: str, score: str, patience: int) ->
     return counted.groupBy(run).agg(F.min(F.when(F.col("_since") >= patience, F.col(step))).alias("stop_step"), F.max_by(step, F.struct(F.col(score), -F.col(step))).alias("best_step"))
 
 
-def perturb_numbers(text, ratio: float, salt: str = "42", most: int = 3):
-    """Up to `most` numbers of the text, chosen and scaled by a hash of their place: factor 1 +- (0.5 to 1.5) * ratio.
+#: Numbers from this on are years or ids: they stay.
+NUMBER_LIMIT = 2100.0
+
+
+def perturbation(text, ratio: float, salt: str = "42", most: int = 3, least: float = 0.0):
+    """(text, original, changed, num_changed): up to `most` numbers of the text within [least, 2100), chosen and scaled by a hash of
+    their place: factor 1 +- (0.5 to 1.5) * ratio. The value lists run from right to left (O6).
 
     Numbers stand alone (not inside words); decimals keep their places, integers round half-even. The text is split between
     the numbers and put together again."""
     pattern = r"(?<![\w.])\d+(?:\.\d+)?(?![\w.]*\w)"
     numbers, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     h = lambda i, s: F.conv(F.substring(F.md5(F.concat(text, F.lit(salt + s), i.cast("string"))), 1, 8), 16, 10).cast("double") / (1 << 32)
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(numbers) - 1), lambda i: F.struct(h(i, "pick").alias("h"), i.alias("i"))))
-    chosen = F.when(F.size(numbers) > 0, F.transform(F.slice(order, 1, most), lambda x: x["i"])).otherwise(F.array().cast("array<int>"))
+    inside = F.filter(F.transform(numbers, lambda n, i: F.struct(h(i, "pick").alias("h"), i.alias("i"), n.cast("double").alias("v"))), lambda x: (x["v"] >= least) & (x["v"] < NUMBER_LIMIT))
+    chosen = F.transform(F.slice(F.array_sort(inside), 1, most), lambda x: x["i"])
 
     def changed(n, i):
         factor = 1 + F.when(h(i, "sign") < 0.5, -1.0).otherwise(1.0) * ratio * (0.5 + h(i, "size"))
@@ -162,4 +167,46 @@ def perturb_numbers(text, ratio: float, salt: str = "42", most: int = 3):
         return F.when(F.array_contains(chosen, i), F.when(places == 0, F.bround(new).cast("long").cast("string")).otherwise(F.regexp_extract(F.format_string("%.10f", new), r"^(-?\d+\.\d+?)0*$", 1))).otherwise(n)
 
     new = F.transform(numbers, changed)
-    return F.array_join(F.flatten(F.zip_with(parts, new, lambda p, n: F.array(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))), "")
+    whole = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, n: F.array(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))), "")
+    picked = lambda values: F.transform(F.reverse(F.array_sort(chosen)), lambda i: F.get(values, i).cast("double"))
+    return F.struct(whole.alias("text"), picked(numbers).alias("original"), picked(new).alias("changed"), F.size(chosen).alias("num_changed"))
+
+
+def perturb_numbers(text, ratio: float, salt: str = "42", most: int = 3):
+    """The text alone."""
+    return perturbation(text, ratio, salt, most)["text"]
+
+
+def layer_quotas(df: DataFrame, layer: str, order: list, quotas: dict = fixed.LAYER_QUOTAS) -> DataFrame:
+    """The first claims of each layer in the order (split, hashed record, claim) up to its quota."""
+    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    ranked = df.where(F.col(layer).isin(*quotas)).withColumn("_r", F.row_number().over(Window.partitionBy(layer).orderBy(*order)))
+    return ranked.where(F.col("_r") <= quota[F.col(layer)]).drop("_r")
+
+
+def split_quotas(total: int, shares: dict = fixed.SPLIT_QUOTAS) -> dict:
+    """int(total * share) rows per split."""
+    return {k: int(total * share) for k, share in shares.items()}
+
+
+def in_splits(df: DataFrame, split: str, wanted: str) -> DataFrame:
+    """Rows of the splits in a comma list, all of them for `all`."""
+    names = [x.strip() for x in wanted.split(",") if x.strip()]
+    return df if "all" in names else df.where(F.col(split).isin(*names))
+
+
+def with_required_text(df: DataFrame, answer: str, question: str, least: int = 20) -> DataFrame:
+    """Rows with a question, and with an answer of at least `least` characters that isn't blank."""
+    full = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    return df.where(full(question) & full(answer) & (F.length(answer) >= least))
+
+
+def batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """`batch` of `size` rows each in the hashed order, the last one shorter."""
+    rows, _ = numbered(df, key)
+    return rows.withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
+def sorted_ids(df: DataFrame, key: str) -> DataFrame:
+    """O1: distinct ids that aren't empty, ascending."""
+    return df.select(key).where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").distinct().orderBy(key)

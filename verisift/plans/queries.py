@@ -11,8 +11,8 @@ from ..operators import claims as c
 from ..operators import html_tables as ht
 from ..operators import metrics as m
 from ..operators import sampling as s
-from ..sources.evidence import CLAIMS_SQL, RECORDS_SQL, fact_records, rendered_claims, table
-from . import construction, layers, responses  # noqa: F401  (they register their queries)
+from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, RECORDS_SQL, fact_records, paired_documents, rendered_claims, table
+from . import construction, index, layers, responses, sets  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
 
@@ -89,23 +89,23 @@ WORDS = "list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'))"
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, {WORDS.format(x="text")} AS a, (SELECT {WORDS.format(x="text")} FROM benchmark WHERE item_id = 0) AS b FROM documents)
+    f"""WITH {PAIRED_SQL}, w AS (SELECT doc_id, {WORDS.format(x="text")} AS a, {WORDS.format(x="evidence")} AS b FROM paired)
     SELECT doc_id, round(CASE WHEN len(list_intersect(a, b)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 9) AS f1 FROM w"""
 )
 def v11_token_f1(spark, sf_dir):
-    one = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("evidence"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(one))
     words = lambda x: F.array_distinct(t.all_matches(F.lower(x), r"[\p{L}\p{N}_]+"))
-    return docs.select("doc_id", F.round(t.set_f1(words(F.col("text")), words(F.col("evidence"))), 9).alias("f1"))
+    return paired_documents(spark, sf_dir).select("doc_id", F.round(t.set_f1(words(F.col("text")), words(F.col("evidence"))), 9).alias("f1"))
 
 
 @query(
-    """WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+\\.?[0-9]*')) AS a FROM documents)
-    SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.5::DOUBLE ELSE round(len(list_intersect(a, ['1', '2.0', '4.0', '555'])) / len(a)::DOUBLE, 9) END AS numeric FROM n"""
+    f"""WITH {PAIRED_SQL}, n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+\\.?[0-9]*')) AS a, list_distinct(regexp_extract_all(evidence || ' ' || doc_id % 50, '[0-9]+\\.?[0-9]*')) AS b, doc_id % 3 = 0 AS blank FROM paired)
+    SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.5::DOUBLE WHEN blank THEN 0.3::DOUBLE ELSE round(len(list_intersect(a, b)) / len(a)::DOUBLE, 9) END AS numeric FROM n"""
 )
 def v13_numeric_consistency(spark, sf_dir):
-    own, other = t.number_strings(F.col("text")), F.array(*map(F.lit, ("1", "2.0", "4.0", "555")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(own) == 0, 0.5).otherwise(F.round(F.size(F.array_intersect(own, other)) / F.size(own), 9)).alias("numeric"))
+    """Every third document has evidence without a number, the others a small number behind their item."""
+    p = paired_documents(spark, sf_dir)
+    evidence = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("evidence", r"\d", "")).otherwise(F.concat_ws(" ", "evidence", (F.col("doc_id") % 50).cast("string")))
+    return p.select("doc_id", F.round(c.numeric_consistency(F.col("text"), evidence), 9).alias("numeric"))
 
 
 JUDGED = "SELECT doc_id, CASE WHEN quality = 1 THEN 0 ELSE 2 END AS truth, CASE WHEN toxic = 1 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS predicted FROM labels"
@@ -181,15 +181,6 @@ def e8_error_rates(spark, sf_dir):
     return m.error_rates(_rewards(spark, sf_dir), "human", "judged").select(*[F.round(x, 9).alias(x) for x in ("catch_strict", "catch_loose", "kill")])
 
 
-@query(
-    """WITH d AS (SELECT vec_id, CAST(vec_id % 25 AS DOUBLE) / 100 AS ratio, CASE WHEN label >= 4 THEN 2 ELSE 0 END AS predicted FROM embeddings), l AS (SELECT unnest([0.01, 0.02, 0.05, 0.10, 0.15, 0.20])::DOUBLE AS level)
-    SELECT level, count(*) AS n, round(avg(CASE WHEN predicted = 2 THEN 1.0 ELSE 0.0 END), 9) AS rate FROM d, l WHERE abs(ratio - level) < CASE WHEN level > 0.02 THEN level * 0.3::DOUBLE ELSE 0.005::DOUBLE END GROUP BY 1 HAVING count(*) >= 5"""
-)
-def e9_j10_sensitivity(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select(((F.col("vec_id") % 25).cast("double") / 100).alias("ratio"), F.when(F.col("label") >= 4, 2).otherwise(0).alias("predicted"))
-    return m.sensitivity(d, "ratio", "predicted").select("level", "n", F.round("rate", 9).alias("rate"))
-
-
 @query("SELECT label, count(*) AS n, avg(CASE WHEN label <> 2 THEN 1.0 ELSE 0.0 END) AS share FROM embeddings GROUP BY 1")
 def e11_a20_label_counts(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("label") != 2).cast("double")).alias("share"))
@@ -259,9 +250,9 @@ def w4_running_baseline(spark, sf_dir):
     return s.running_baseline(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "ema")
 
 
-@query("SELECT event_type, CAST((event_id - 1) // 100 AS BIGINT) AS interval, round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE event_id > 0 GROUP BY 1, 2")
+@query("SELECT event_type, CAST(floor((event_id - 1) / 100.0) AS BIGINT) AS interval, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
 def w5_interval_means(spark, sf_dir):
-    return s.interval_means(table(spark, sf_dir, "events").where("event_id > 0"), "event_type", "event_id", "value", 100).select("event_type", "interval", F.round("mean", 6).alias("mean"), "n")
+    return s.interval_means(table(spark, sf_dir, "events"), "event_type", "event_id", "value", 100).select("event_type", "interval", F.round("mean", 6).alias("mean"), "n")
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import responses as r
-from ..sources.evidence import CLAIMS_SQL, fact_records, rendered_claims, table
+from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, fact_records, paired_documents, rendered_claims, table
 from .registry import query
 
 HINT = r"(?i)[0-9]|increase|decrease|higher|lower|more|less|significant|outperform|worse"
@@ -62,13 +62,11 @@ LONG_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, {LONG_WORDS.format(x="text")} AS a, (SELECT {LONG_WORDS.format(x="text")} FROM benchmark WHERE item_id = 0) AS b FROM documents)
+    f"""WITH {PAIRED_SQL}, w AS (SELECT doc_id, {LONG_WORDS.format(x="text")} AS a, {LONG_WORDS.format(x="evidence")} AS b FROM paired)
     SELECT doc_id, CASE WHEN coalesce(len(a), 0) = 0 OR coalesce(len(b), 0) = 0 THEN 0.0::DOUBLE ELSE round(4.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) - 0.5::DOUBLE, 9) END AS reward FROM w"""
 )
 def a7_surface_baseline(spark, sf_dir):
-    one = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("evidence"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(one), how="left")  # one row by its key
-    return docs.select("doc_id", F.round(r.surface_reward(F.col("text"), F.col("evidence")), 9).alias("reward"))
+    return paired_documents(spark, sf_dir).select("doc_id", F.round(r.surface_reward(F.col("text"), F.col("evidence")), 9).alias("reward"))
 
 
 @query(
@@ -91,12 +89,6 @@ def a13_policy_reward(spark, sf_dir):
     return r.policy_reward(d, "key", "label", "p2", "truth", "said", "evidence", 0.4, 0.3, 0.2, 0.25, 0.15).withColumn("reward", F.round("reward", 6))
 
 
-@query("SELECT CAST(vec_id % 25 AS INTEGER) AS percent, count(*) AS n, round(avg(CASE WHEN label >= 4 THEN 1.0 ELSE 0.0 END), 9) AS rate FROM embeddings GROUP BY 1")
-def e10_policy_sensitivity(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select(((F.col("vec_id") % 25).cast("double") / 100).alias("ratio"), (F.col("label") >= 4).cast("double").alias("found"))
-    return d.groupBy(F.bround(F.col("ratio") * 100).cast("int").alias("percent")).agg(F.count("*").alias("n"), F.round(F.avg("found"), 9).alias("rate"))
-
-
 @query(
     """WITH a AS (SELECT avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS one, avg(CASE WHEN quality = doc_id % 2 THEN 1.0 ELSE 0.0 END) AS two FROM labels)
     SELECT round(abs(one - two), 9) AS gap, abs(one - two) <= 0.05 AS near, abs(one - two) <= 0.1 AS wide, abs(one - two) <= 0.05 AND abs(one - two) <= 0.1 AS go FROM a"""
@@ -117,7 +109,8 @@ def r10_go_no_go(spark, sf_dir):
 def v14_head_inference(spark, sf_dir):
     """Each vector against itself reversed, with fixed weights; a test holds the numbers against a plain computation."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("other"))
-    width = len(e.select("embedding").where("embedding is not null").first()["embedding"])
+    one = e.select("embedding").where("embedding is not null").first()
+    width = len(one["embedding"]) if one else 1
     return r.head_inference(e, "embedding", "other", example_weights(width)).select("vec_id", "head.label", "head.reward")
 
 

@@ -27,6 +27,15 @@ def fact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("paper_id", "table_ord", (kinds * 3 + F.col("m.k")).alias("rec_ord"), "entity", F.col("m.metric").alias("metric"), F.col("m.tenths").alias("tenths"), (F.col("m.tenths") / F.lit(10.0)).alias("value"), F.lower("entity").alias("entity_norm"), F.col("m.metric").alias("metric_norm"))
 
 
+def paired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, evidence: each document beside one benchmark item, all items in turn; empty evidence without one."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("item_id", F.pmod(F.col("doc_id"), F.lit(max(1, items.count()))))
+    return docs.join(items, "item_id", "left").select("doc_id", "text", F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+PAIRED_SQL = "paired AS (SELECT doc_id, d.text, coalesce(b.text, '') AS evidence FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT greatest(count(*), 1) FROM benchmark))"
+
 RECORDS_SQL = """records AS (
   SELECT paper_id, table_ord, (list_position(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'], entity) * 3 + k)::INTEGER AS rec_ord, entity, metric, tenths, tenths / 10.0::DOUBLE AS value, lower(entity) AS entity_norm, metric AS metric_norm
   FROM (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,92 @@ def within_first(df: DataFrame, ordinal: str, n: int, accept: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """IO5: what lies at `path`, or else what `build` makes, written there first."""
+    """IO5: what lies at `path`, or else what `build` makes, written there first. Other read errors are raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 
+def read_features(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """IO6: visual, text, label and perturbation_ratio of a split; a missing ratio column, or null, is 0. Unused columns are not read."""
+    rows = spark.read.parquet(path).where(F.col("split") == split)
+    ratio = F.coalesce(F.col("perturbation_ratio").cast("double"), F.lit(0.0)) if "perturbation_ratio" in rows.columns else F.lit(0.0)
+    return rows.select("visual", "text", F.col("label").cast("int").alias("label"), ratio.alias("perturbation_ratio"))
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """IO7: visual, text, label and perturbation_ratio, one folder per split."""
+    write_splits(df.select("split", "visual", "text", "label", "perturbation_ratio"), "split", path)
+
+
+def finished(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """IO9, ST5: the results appended so far; a torn line counts as not done. An absent folder has none."""
+    try:
+        return read_json_lines(spark, path, schema).where("_corrupt is null").drop("_corrupt")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_results(work: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], path: str, schema: str) -> None:
+    """IO9: what process makes of the rows that `path` doesn't hold yet, appended to it. Run again, it goes on where it stopped."""
+    done = finished(work.sparkSession, path, schema).select(key).distinct()
+    process(work.join(done, key, "left_anti")).write.mode("append").json(path)
+
+
+def write_three_way(df: DataFrame, usable: str, path: str) -> None:
+    """IO11: usable rows to `manifest`, others to `missing`, their counts to `meta`. A null counts as not usable."""
+    marked = df.withColumn("_ok", F.coalesce(F.expr(usable), F.lit(False))).persist()
+    for name, keep in (("manifest", F.col("_ok")), ("missing", ~F.col("_ok"))):
+        marked.where(keep).drop("_ok").write.mode("overwrite").json(f"{path}/{name}")
+    write_report(marked.agg(F.count("*").alias("rows"), F.count_if("_ok").alias("usable"), F.count_if(~F.col("_ok")).alias("missing")), f"{path}/meta")
+    marked.unpersist()
+
+
+def write_weights(spark: SparkSession, weights: dict, path: str) -> None:
+    """IO18: named matrices as rows (name, row, values)."""
+    rows = [(k, i, [float(x) for x in r]) for k, w in weights.items() for i, r in enumerate(w)]
+    spark.createDataFrame(rows, "name string, row int, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> dict:
+    """IO18: what write_weights wrote; small by design, so it comes to the driver."""
+    import numpy as np
+
+    out: dict = {}
+    for r in spark.read.parquet(path).orderBy("name", "row").collect():
+        out.setdefault(r["name"], []).append(r["values"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """IO17: what a run is built from; dotted overrides make a changed copy."""
+
+    split: str = "all"
+    seed: str = "42"
+    gate: float = 0.7
+    limit: int = 0
+    clip: bool = True
+
+    def overridden(self, *overrides: str) -> Settings:
+        """`name=value` each, with the type of the field; a prefix with dots is ignored. Unknown names raise."""
+        kinds = {f.name: type(f.default) for f in fields(self)}
+        new = {}
+        for o in overrides:
+            name, _, value = o.partition("=")
+            name = name.rpartition(".")[2].lstrip("-").replace("-", "_")
+            if name not in kinds:
+                raise ValueError(f"unknown setting {name}")
+            new[name] = value.lower() in ("1", "true", "yes") if kinds[name] is bool else kinds[name](value)
+        return replace(self, **new)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """IO8."""
     df.write.mode("overwrite").json(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,94 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     stream.writeStream.foreachBatch(_parted(sink, good)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def ingest_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """ST1: rows taken and rejected so far, by what the sink's folders hold."""
+    one = lambda folder, name: spark.read.parquet(folder).agg(F.count("*").alias(name))
+    return one(sink, "taken").join(one(f"{sink}-rejected", "rejected"))
+
+
+def ingest_up_to(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, good: str, order: str, limit: int, files_per_trigger: int = 1) -> int:
+    """ST1, IO14: like ingest, but stops once `limit` good rows are taken; the batch that passes it is cut in the order of a column.
+    Returns the rows taken. A run that starts again counts what is there."""
+    put = _parted(sink, "_good_row")
+    taken = 0
+    try:
+        taken = spark.read.parquet(sink).count()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    state = {"taken": taken}
+
+    def some(batch: DataFrame, number: int) -> None:
+        room = limit - state["taken"]
+        if room <= 0:
+            return
+        marked = batch.withColumn("_good_row", F.coalesce(F.expr(good), F.lit(False)))
+        fits = marked.where("_good_row").orderBy(order).limit(room).persist()
+        put(fits.unionByName(marked.where("not _good_row")), number)
+        state["taken"] += fits.count()
+        fits.unpersist()
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    stream.writeStream.foreachBatch(some).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return state["taken"]
+
+
+def when_reached(count: Callable[[], int], target: int, stage: Callable[[], object], done: Callable[[], bool], mark: Callable[[], object], wait_s: float = 30.0, most_polls: int | None = None) -> bool:
+    """ST3: polls a count until it reaches the target, then runs the stage once and sets the marker. With the marker set it does
+    nothing. Returns whether the stage has run, now or before."""
+    polls = 0
+    while not done():
+        if count() >= target:
+            stage()
+            mark()
+            return True
+        polls += 1
+        if most_polls is not None and polls >= most_polls:
+            return False
+        time.sleep(wait_s)
+    return True
+
+
+def called(df: DataFrame, key: str, prompt: str, call: Callable[[str], str], good: Callable[[str], bool] = bool, parallel: int = 5, attempts: int = 3, wait_s: float = 2.0) -> DataFrame:
+    """ST6: (key, reply, attempts, error) of a call per row, at most `parallel` at a time (as many partitions). A call that raises is
+    tried again after wait_s, then twice as long; one whose reply isn't good, at once. After the last attempt the reply is null."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for k, text in zip(frame[key], frame[prompt], strict=True):
+                reply, error, wait = None, None, wait_s
+                for n in range(1, attempts + 1):
+                    try:
+                        said = call(text)
+                        if good(said):
+                            reply, error = said, None
+                            break
+                        error = "bad reply"
+                    except Exception as e:  # a call may fail in any way; the row says how
+                        error = type(e).__name__
+                        if n < attempts:
+                            time.sleep(wait)
+                            wait *= 2
+                out.append((k, reply, n, error))
+            yield pd.DataFrame(out, columns=[key, "reply", "attempts", "error"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, prompt).repartition(parallel).mapInPandas(run, f"{key} {kind}, reply string, attempts int, error string")
+
+
+def run_stages(stages: list[tuple[str, Callable[[], object]]], log: Callable[[str], object] = print) -> list[str]:
+    """ST7: runs named stages in order and logs each; the first that raises stops the chain. Returns the names that ended."""
+    ended = []
+    for name, stage in stages:
+        log(f"{name}: begins")
+        stage()
+        log(f"{name}: ended")
+        ended.append(name)
+    return ended
+
+
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """IO9, J5, ST5: rows whose key is not among the finished ones."""
     return work.join(done.select(key).distinct(), key, "left_anti")
