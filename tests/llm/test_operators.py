@@ -323,3 +323,38 @@ def test_stages_keep_columns(table):
     for stage in (keep_one_per_component, keep_first_spans):
         out = stage(table)
         assert out.columns == table.columns and out.count() <= table.count()
+
+
+def test_equal_texts_share_a_shard_and_sizes_are_near(docs):
+    rows = shard_by_bytes(docs).collect()
+    by_text, load = defaultdict(set), Counter()
+    for r in rows:
+        by_text[(r["text_crc32"], r["size"])].add(r["shard"])
+        load[r["shard"]] += r["size"]
+    groups = Counter()
+    for r in rows:
+        groups[(r["text_crc32"], r["size"])] += r["size"]
+    assert all(len(s) == 1 for s in by_text.values())
+    assert max(load.values()) - min(load.get(k, 0) for k in range(16)) <= 2 * max(groups.values())
+
+
+def test_minimax_by_brute_force():
+    from itertools import combinations
+
+    g = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = g.integers(1, 30, g.integers(1, 9)).tolist()
+        shards = int(g.integers(1, 5))
+        got, _ = minimax_cuts(np.array(sizes), shards)
+        best = min(max(sum(sizes[a:z]) for a, z in zip([0, *c], [*c, len(sizes)], strict=True)) for k in range(min(shards, len(sizes))) for c in combinations(range(1, len(sizes)), k))
+        assert got == best, (sizes, shards)
+
+
+def test_fingerprints_tell_likeness(docs):
+    rows = fingerprint_documents(docs).where("n_chars > 400").collect()
+    assert np.mean([r["near_edited"] for r in rows]) > np.mean([r["near_next"] for r in rows]) + 0.2
+    by_text = defaultdict(set)
+    text = dict(pairs(docs))
+    for r in rows:
+        by_text[text[r["doc_id"]]].add(r["fingerprint"])
+    assert all(len(s) == 1 for s in by_text.values())
