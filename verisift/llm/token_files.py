@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .tokens import STEP_CHARS, encode_texts, text_steps
+from .tokens import MEMORY_BYTES, STEP_CHARS, encode_texts, text_steps
 
+#: Bytes of units that a writing worker remembers: it keeps no tables of its own.
+UNIT_MEMORY = 2 * MEMORY_BYTES
 #: Ids that reading back holds at once.
 READ_IDS = 4_000_000
 
@@ -56,7 +58,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0,
         with store.open_output_stream(f"{own}.bin") as out:
             for batch in batches:
                 for i, texts in text_steps(batch.column(1), STEP_CHARS):
-                    for units in encode_texts(f"library {kind.str}", path, texts, lambda _, ids: np.asarray(ids, kind).tobytes()):
+                    for units in encode_texts(f"library {kind.str}", path, texts, lambda _, ids: np.asarray(ids, kind).tobytes(), UNIT_MEMORY):
                         blob = b"".join(units) + end
                         sizes.append(len(blob) // kind.itemsize)
                         out.write(blob)
