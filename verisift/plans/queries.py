@@ -18,7 +18,7 @@ from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
 @query(
     f"""WITH {CLAIMS_SQL}, scored AS (
-      SELECT paper_id, count(*) AS claims, avg(CASE WHEN kind IN (2, 3) THEN 0.0 WHEN kind = 1 THEN -1.0 ELSE 1.0 END) AS base, avg(CASE WHEN kind = 3 THEN 0.0 ELSE 1.0 END) * 0.05 AS specificity FROM claims GROUP BY 1),
+      SELECT paper_id, count(*) AS claims, avg(coalesce(verdict, 0.0)) AS base, avg(CASE WHEN kind = 3 THEN 0.0 ELSE 1.0 END) * 0.05 AS specificity FROM claims GROUP BY 1),
     covered AS (SELECT r.paper_id, avg(CASE WHEN EXISTS (SELECT 1 FROM claims k WHERE k.paper_id = r.paper_id AND k.kind <> 2 AND lower(k.entity) = r.entity_norm) THEN 1.0 ELSE 0.0 END) * 0.1 AS coverage FROM records r GROUP BY 1)
     SELECT paper_id, claims, round(base, 6) AS base, round(specificity, 6) AS specificity, round(coverage, 6) AS coverage, round(base + coverage + specificity, 6) AS total FROM scored JOIN covered USING (paper_id)"""
 )
@@ -42,7 +42,7 @@ def c1_to_c14_claims(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CLAIMS_SQL} SELECT paper_id, claim_ord, CASE WHEN kind IN (2, 3) THEN NULL WHEN kind = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS reward0, CASE WHEN kind IN (2, 3) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence0 FROM claims"""
+    f"""WITH {CLAIMS_SQL} SELECT paper_id, claim_ord, verdict AS reward0, CASE WHEN kind IN (2, 3) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence0 FROM claims"""
 )
 def v4_symbolic_verify(spark, sf_dir):
     records = fact_records(spark, sf_dir)

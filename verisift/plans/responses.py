@@ -70,7 +70,7 @@ def a7_surface_baseline(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CLAIMS_SQL} SELECT paper_id, count(*) FILTER (kind < 2) AS n_verifiable, count(*) FILTER (kind >= 2) AS n_unverifiable, round(avg(CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN -1.0 ELSE 0.0 END), 9) AS reward FROM claims GROUP BY 1"""
+    f"""WITH {CLAIMS_SQL} SELECT paper_id, count(*) FILTER (kind < 2) AS n_verifiable, count(*) FILTER (kind >= 2) AS n_unverifiable, round(avg(CASE WHEN verdict IS NULL THEN 0.0 WHEN verdict > 0 THEN 1.0 ELSE -1.0 END), 9) AS reward FROM claims GROUP BY 1"""
 )
 def a10_hybrid_baseline(spark, sf_dir):
     records = fact_records(spark, sf_dir)
