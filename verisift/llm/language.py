@@ -95,21 +95,23 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE, per_language: int
     if len(df):
         idf[df["gram"]] = np.log((1 + df["n"]) / (1 + df["df"])) + 0.05
 
-    # a language's rows may be a third of all: only those with small hashes, about four times the sample, are ranked
+    # a language's rows may be a third of all: only those with small hashes, about four times the sample, are ranked; the counts,
+    # one row per language as the model has several, are broadcast, else every row would go to its language's task first
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
     sizes = teach.groupBy("lang").agg(F.count("*").alias("taught"))
-    near = teach.select("doc_id", "lang").join(sizes, "lang").where(place <= F.lit(float(1 << 40)) * 4 * sample / F.col("taught"))
+    near = teach.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place <= F.lit(float(1 << 40)) * 4 * sample / F.col("taught"))
     first = Window.partitionBy("lang").orderBy(place, "doc_id")
     some = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("doc_id").distinct()
 
     def sparse(batch, counts):
         at = [np.flatnonzero(c) for c in counts]
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array([c[i] for c, i in zip(counts, at, strict=True)], pa.list_(pa.float32()))], names=["lang", "gram", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(at, pa.list_(pa.int32())), pa.array([c[i] for c, i in zip(counts, at, strict=True)], pa.list_(pa.float32()))], names=["lang", "place", "h", "gram", "count"])
 
-    taken = _counted(teach.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang"), sparse, "lang string, gram array<int>, count array<float>")
+    chosen = teach.join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", place.alias("place"), F.xxhash64("doc_id", "text").alias("h"))
+    taken = _counted(chosen, sparse, "lang string, place long, h long, gram array<int>, count array<float>")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.head(sample)
+        part = part.sort_values(["place", "h"], kind="stable").head(sample)  # repeated ids may bring more
         x = np.zeros((len(part), GRAMS))
         for r, (g, c) in enumerate(zip(part["gram"], part["count"], strict=True)):
             x[r, g] = c
