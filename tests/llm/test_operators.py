@@ -358,3 +358,10 @@ def test_fingerprints_tell_likeness(docs):
     for r in rows:
         by_text[text[r["doc_id"]]].add(r["fingerprint"])
     assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_language_sample_ignores_row_order(docs):
+    """Repeated ids bring more rows than the sample takes: which ones doesn't depend on the partitions."""
+    twice = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    runs = [sorted(map(tuple, identify_languages(t, sample=20).collect())) for t in (twice.repartition(3), twice.repartition(7, "text"))]
+    assert [r[:3] for r in runs[0]] == [r[:3] for r in runs[1]] and np.allclose([r[3] for r in runs[0]], [r[3] for r in runs[1]])

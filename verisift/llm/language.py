@@ -22,6 +22,7 @@ def gram_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     b = _FOLD[data].astype(np.uint32)
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
+    keep[off[:-1][off[:-1] < len(b)]] = True  # what stands before a text is no part of it
     doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(off))[keep] * GRAMS
     b = b[keep]
     out = np.zeros(n * GRAMS)
