@@ -109,7 +109,7 @@ def test_token_files(table):
     assert sorted(map(tuple, token_files(table, queries.tokenizer_path()).collect()), key=lambda r: r[1]) == want
 
 
-@pytest.mark.parametrize("groups", [1, 5])
+@pytest.mark.parametrize("groups", [1, 5, 40])
 def test_substrings(table, groups):
     rows = pairs(table)
     first = {}

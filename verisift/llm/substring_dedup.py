@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,6 +21,8 @@ from .common import group_count, steps, text_bytes, windows, words
 from .packed import Answers, Group, answered, dealt, sent
 
 SPAN, MINIMIZER = 13, 6
+#: A digest's path rows are joined in parts of so many groups.
+SALT_GROUPS = 16
 _END, _MANY = np.uint64(1), np.uint64(0)
 _REPEATED, _ONE_NEXT, _ONE_PREVIOUS = 1, 2, 4
 
@@ -143,8 +145,20 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, groups: int | None = None,
         })
 
     paths = rows.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(compact, "g int, digest binary, low long, high long, places binary")
-    keepers = paths.groupBy("digest").agg(F.min("low").alias("keeper"))
-    return rows, paths.join(keepers, "digest").where(F.col("high") > F.col("keeper")).select("g", "digest", "keeper", "places")
+    return rows, _kept_by_first(paths)
+
+
+def _kept_by_first(paths: DataFrame) -> DataFrame:
+    """(g, digest, keeper, places) of the path rows in which a larger doc_id than the keeper occurs.
+
+    A digest that a third of all documents hold has a row in every group. It is split by SALT_GROUPS groups each: what is known
+    of a part (one small row) learns the smallest doc_id of the digest, and only then are the places, as many as the
+    occurrences, joined, by digest and part."""
+    paths = paths.withColumn("part", F.floor(F.col("g") / SALT_GROUPS).cast("int"))
+    parts = paths.groupBy("digest", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = Window.partitionBy("digest")
+    keepers = parts.select("digest", "part", F.min("low").over(whole).alias("keeper"), F.max("high").over(whole).alias("top")).where("top > keeper")
+    return paths.join(keepers.drop("top"), ["digest", "part"]).where(F.col("high") > F.col("keeper")).select("g", "digest", "keeper", "places")
 
 
 def _marked(group: Group, back: pa.Table) -> dict[int, list[tuple[int, int]]]:
