@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import group_count, steps, text_bytes, windows, words
+from .common import group_count, steps, text_bytes, windows, words, written
 from .packed import Answers, Group, answered, dealt, sent
 
 SPAN, MINIMIZER = 13, 6
@@ -145,7 +145,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, groups: int | None = None,
         })
 
     paths = rows.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(compact, "g int, digest binary, low long, high long, places binary")
-    return rows, _kept_by_first(paths)
+    return rows, _kept_by_first(written(paths))
 
 
 def _kept_by_first(paths: DataFrame) -> DataFrame:
