@@ -43,6 +43,31 @@ def test_least_validation_rows_and_null_strata(spark):
     assert got == {("a", "val"): 20, ("a", "train"): 180, ("b", "val"): 20, ("b", "train"): 70, (None, "val"): 1, (None, "train"): 9}
 
 
+def test_running_baseline_by_plain_python(spark):
+    rows = [("a", i, float(i % 7)) for i in range(-3000, 2500)] + [("b", 10_000 * i, float(i)) for i in range(9)] + [("b", None, 2.0), (None, 5, 1.0), (None, 3, 4.0), ("", 1, 8.0), ("c", 1, None), ("c", 2, 3.0), ("c", 1025, None), ("c", 3000, 1.0), ("c", 3000, 1.0)]
+    want, state = [], {}
+    for run, step, value in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0)):
+        if value is not None:
+            state[run] = state.get(run, 0.0) * 0.95 + value * 0.05
+        want.append((run, step, value, None if value is None else round(state[run], 9)))
+    got = s.running_baseline(spark.createDataFrame(rows, "run string, step long, value double").repartition(5), "run", "step", "value").collect()
+    order = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in (str(r[0]), *r[1:]))
+    assert sorted(((r[0], r[1], r[2], None if r[3] is None else round(r[3], 9)) for r in got), key=order) == sorted(want, key=order)
+    assert s.running_baseline(spark.createDataFrame([], "run string, step long, value double"), "run", "step", "value").count() == 0
+
+
+def test_quotas_and_copies_by_rank(spark):
+    """Against ranks over whole classes, with quotas above a class, of 0 and in the middle of an interval."""
+    df = spark.range(5000).select("id", F.when(F.col("id") < 3500, "a").when(F.col("id") < 4900, "b").when(F.col("id") < 4990, "c").alias("x"))
+    ranked = s.rank_within(df, ["x"], "id").collect()
+    quotas = {"a": 777, "b": 5000, "c": 0, "none": 3}
+    assert sorted((r["id"], r["x"]) for r in s.quota_sample(df, "x", quotas, "id").collect()) == sorted((r["id"], r["x"]) for r in ranked if r["x"] and r["rank"] <= quotas[r["x"]])
+    n = {"a": 3500, "b": 1400, "c": 90}
+    for factors in (None, {"b": 1.5, "c": 0.5}):
+        want = sorted((r["id"], k) for r in ranked if r["x"] for k in range(1, 1 + -(-(int(3500 * max(1.0, (factors or {}).get(r["x"], 1.0))) - r["rank"] + 1) // n[r["x"]])))
+        assert sorted((r["id"], r["copy"]) for r in s.oversample(df, "x", "id", factors).collect()) == want
+
+
 def test_perturbation_by_plain_python(spark):
     texts = ["In 1999 we saw 12 of 40 birds and 3.50 of 9000 nests, x7 and 7x stay", "none", "", None, "5"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", s.perturbation(F.col("t"), 0.2).alias("p")).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +20,6 @@ def sample_exact(df: DataFrame, key: str, k: int, salt: str = "42") -> DataFrame
     return df.orderBy(hashed_rank(F.col(key), salt), key).limit(k)
 
 
-def quota_sample(df: DataFrame, group: str, quotas: dict, key: str, salt: str = "42") -> DataFrame:
-    """Up to the quota of each group, in hashed order; groups without a quota give none."""
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    return rank_within(df.where(F.col(group).isin(*quotas)), [group], key, salt).where(F.col("rank") <= quota[F.col(group)]).drop("rank")
-
-
 #: The hash range falls into 2 ** INTERVAL_BITS equal intervals: so many counts are what numbering and splitting work with.
 INTERVAL_BITS = 14
 
@@ -49,6 +44,36 @@ def numbered(df: DataFrame, key: str, salt: str = "42") -> tuple[DataFrame, int]
     return within.join(F.broadcast(base), "_b").withColumn("place", (F.col("_base") + F.col("_i") - 1).cast("long")).drop("_h", "_b", "_i", "_base"), total
 
 
+def _with_first(df: DataFrame, strata: list[str], key: str, salt: str, wanted, beside=None, alone: bool = False) -> DataFrame:
+    """df with `_first`: the row is among the first `wanted` of its stratum in hashed order. alone: only such rows, and few others.
+
+    wanted(n, b) gives the number from the stratum's rows and the largest value of the column `beside` in it. A stratum may be a
+    third of all rows: counts per stratum and hash interval tell in which interval its last wanted row lies, and rows are ranked
+    by interval, which only matters in that one."""
+    at = _placed(df.select(key, *strata, (F.lit(0) if beside is None else beside).cast("long").alias("_beside")), key, salt)
+    sizes = at.groupBy(*strata, "_b").agg(F.count("*").alias("_n"), F.max("_beside").alias("_beside"))
+    whole = Window.partitionBy(*strata)
+    n = F.sum("_n").over(whole)
+    want = F.least(n, wanted(n, F.max("_beside").over(whole)))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sizes.select(*strata, "_b", before.alias("_before"), want.alias("_want"), "_n").where("_before < _want and _before + _n >= _want")
+    bounds = cut.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))
+    on = None
+    for i, s in enumerate(strata):
+        on = F.col(s).eqNullSafe(F.col(f"_s{i}")) if on is None else on & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    placed = _placed(df, key, salt).join(bounds, on, "left")
+    placed = placed.where("_b <= _cut") if alone else placed
+    ranked = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*strata, F.when(F.col("_b") == F.col("_cut"), F.lit(-1)).otherwise(F.col("_b"))).orderBy("_h", key)))
+    first = (F.col("_b") < F.col("_cut")) | ((F.col("_b") == F.col("_cut")) & (F.col("_i") <= F.col("_left")))
+    return ranked.withColumn("_first", F.coalesce(first, F.lit(False))).select(*df.columns, "_first")
+
+
+def quota_sample(df: DataFrame, group: str, quotas: dict, key: str, salt: str = "42") -> DataFrame:
+    """Up to the quota of each group, in hashed order; groups without a quota give none."""
+    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    return _with_first(df.where(F.col(group).isin(*quotas)), [group], key, salt, lambda n, _: quota[F.col(group)], alone=True).where("_first").drop("_first")
+
+
 def split_train_val(df: DataFrame, key: str, share: float = 0.005, salt: str = "42") -> DataFrame:
     """`val` for the first max(int(n * share), 1) rows of the hashed order. Counts of hash intervals tell in which one the last of
     them lies, and only that interval is ranked."""
@@ -69,36 +94,24 @@ def split_train_val(df: DataFrame, key: str, share: float = 0.005, salt: str = "
 def stratified_split(df: DataFrame, strata: list[str], key: str, train: float = 0.9, salt: str = "42", least=None) -> DataFrame:
     """Per stratum max(1, half-even round of n * (1 - train), least) rows for validation, n - 1 at most but one.
 
-    least: a column of the strata's, the fewest validation rows (for changed rows, say). A stratum may be a third of all rows: counts
-    per stratum and hash interval tell in which interval its last validation row lies, and only those intervals are ranked."""
-    at = _placed(df.select(key, *strata, (F.lit(0) if least is None else least).cast("long").alias("_least")), key, salt)
-    sizes = at.groupBy(*strata, "_b").agg(F.count("*").alias("_n"), F.max("_least").alias("_least"))
-    whole = Window.partitionBy(*strata)
-    n = F.sum("_n").over(whole)
-    want = F.greatest(F.lit(1), F.least(F.greatest(F.bround(n * (1 - train)).cast("long"), F.max("_least").over(whole)), F.greatest(F.lit(1), n - 1)))
-    before = F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = sizes.select(*strata, "_b", before.alias("_before"), want.alias("_want"), "_n").where("_before < _want and _before + _n >= _want")
-    bounds = cut.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))
-    on = None
-    for i, s in enumerate(strata):
-        on = F.col(s).eqNullSafe(F.col(f"_s{i}")) if on is None else on & F.col(s).eqNullSafe(F.col(f"_s{i}"))
-    placed = _placed(df, key, salt).join(bounds, on, "left")
-    ranked = placed.withColumn("_i", F.row_number().over(Window.partitionBy(*strata, F.when(F.col("_b") == F.col("_cut"), F.lit(-1)).otherwise(F.col("_b"))).orderBy("_h", key)))
-    val = (F.col("_b") < F.col("_cut")) | ((F.col("_b") == F.col("_cut")) & (F.col("_i") <= F.col("_left")))
-    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).select(*df.columns, "split")
+    least: a column of the strata's, the fewest validation rows (for changed rows, say)."""
+    wanted = lambda n, least: F.greatest(F.lit(1), F.least(F.greatest(F.bround(n * (1 - train)).cast("long"), least), F.greatest(F.lit(1), n - 1)))
+    rows = _with_first(df, strata, key, salt, wanted, least)
+    return rows.withColumn("split", F.when(F.col("_first"), "val").otherwise("train")).drop("_first")
 
 
 def oversample(df: DataFrame, label: str, key: str, factors: dict | None = None) -> DataFrame:
-    """Every class repeated to the size of the largest one, times its factor (at least 1); row r of n is repeated
-    ceil((wanted - r) / n) times."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
+    """Every class repeated to the size of the largest one, times its factor (at least 1): all its n rows wanted / n times,
+    and the first wanted % n in hashed order once more. Rows without a label are left out."""
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
     factor = F.lit(1.0)
     for k, f in (factors or {}).items():
         factor = F.when(F.col(label) == k, float(max(1.0, f))).otherwise(factor)
-    ranked = rank_within(df, [label], key).join(sizes.withColumn("most", F.floor(F.lit(most) * factor)), label)
-    times = F.ceil((F.col("most") - F.col("rank") + 1) / F.col("n")).cast("int")
-    return ranked.where(times >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("rank", "n", "most")
+    copies = F.floor(F.lit(most) * factor)
+    rows = _with_first(df.where(F.col(label).isNotNull()), [label], key, "42", lambda n, _: copies % n).join(sizes, label)
+    times = (F.floor(copies / F.col("n")) + F.col("_first").cast("int")).cast("int")
+    return rows.where(times >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_first", "n")
 
 
 def mispair(df: DataFrame, key: str, keep: str, salt: str = "42") -> DataFrame:
@@ -122,11 +135,37 @@ def best_of_group(df: DataFrame, group: str, score: str, order: str) -> DataFram
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), order))).where("_r = 1").drop("_r")
 
 
+#: Steps of a run that are folded as one list.
+BLOCK = 1024
+
+
 def running_baseline(df: DataFrame, run: str, step: str, value: str, decay: float = fixed.EMA_DECAY) -> DataFrame:
-    """Exponential moving average from 0 over each run's ordered steps; one list per run, folded in order."""
-    lists = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(step, value))).alias("x"))
-    grown = F.aggregate("x", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) * decay + x[value] * round(1 - decay, 12))))
-    return lists.select(run, F.explode(F.arrays_zip("x", grown.alias("ema"))).alias("z")).select(run, f"z.x.{step}", f"z.x.{value}", "z.ema")
+    """Exponential moving average from 0 over each run's ordered steps. A row without a value has none and leaves it as it is.
+
+    A run may be a third of all rows: fixed blocks of BLOCK steps are folded each by itself, from 0. What is carried into a block
+    is a scan over one small row per block, and shrinks by `decay` with each value."""
+    keys = [F.col(run).isNull().alias("_none"), F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_run"), F.coalesce(F.floor(F.col(step) / BLOCK), F.lit(-(1 << 63))).alias("_block")]
+    lists = df.groupBy(*keys).agg(F.first(run).alias("_own"), F.array_sort(F.collect_list(F.struct(step, value))).alias("x"))
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")))
+    more = lambda a, v: F.struct((last(a)["k"] + 1).alias("k"), (last(a)["s"] * decay + v * round(1 - decay, 12)).alias("s"))
+    folded = F.aggregate("x", F.array().cast("array<struct<k:int,s:double>>"), lambda a, x: F.concat(a, F.array(F.when(x[value].isNull(), last(a)).otherwise(more(a, x[value].cast("double"))))))
+    blocks = lists.withColumn("f", folded)
+
+    def carried(batches):
+        before, state = None, 0.0
+        for batch in batches:
+            out = []
+            for *of, k, s in zip(*(batch.column(c).to_pylist() for c in ("_none", "_run", "k", "s")), strict=True):
+                state = state if of == before else 0.0
+                out.append(state)
+                before, state = of, state * decay**k + s
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_none", "_run", "_block")), pa.array(out, pa.float64())], names=["_none", "_run", "_block", "carry"])
+
+    ends = blocks.select("_none", "_run", "_block", last(F.col("f"))["k"].alias("k"), last(F.col("f"))["s"].alias("s"))
+    carries = ends.repartition("_none", "_run").sortWithinPartitions("_none", "_run", "_block").mapInArrow(carried, "_none boolean, _run string, _block long, carry double")
+    each = blocks.join(carries, ["_none", "_run", "_block"]).select("_own", "carry", F.explode(F.arrays_zip("x", "f")).alias("z"))
+    ema = F.when(F.col(f"z.x.{value}").isNotNull(), F.col("z.f.s") + F.pow(F.lit(decay), F.col("z.f.k")) * F.col("carry"))
+    return each.select(F.col("_own").alias(run), f"z.x.{step}", f"z.x.{value}", ema.alias("ema"))
 
 
 def interval_means(df: DataFrame, run: str, step: str, value: str, every: int) -> DataFrame:
@@ -181,7 +220,8 @@ def layer_quotas(df: DataFrame, layer: str, order: list, quotas: dict = fixed.LA
     """The first claims of each layer in the order (split, hashed record, claim) up to its quota."""
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     ranked = df.where(F.col(layer).isin(*quotas)).withColumn("_r", F.row_number().over(Window.partitionBy(layer).orderBy(*order)))
-    return ranked.where(F.col("_r") <= quota[F.col(layer)]).drop("_r")
+    most = max(quotas.values(), default=0)  # a plain number, so that Spark drops the rest before the exchange
+    return ranked.where((F.col("_r") <= most) & (F.col("_r") <= quota[F.col(layer)])).drop("_r")
 
 
 def split_quotas(total: int, shares: dict = fixed.SPLIT_QUOTAS) -> dict:
