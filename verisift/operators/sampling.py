@@ -139,12 +139,13 @@ def best_of_group(df: DataFrame, group: str, score: str, order: str) -> DataFram
 BLOCK = 1024
 
 
-def running_baseline(df: DataFrame, run: str, step: str, value: str, decay: float = fixed.EMA_DECAY) -> DataFrame:
+def running_baseline(df: DataFrame, run: str, step: str, value: str, decay: float = fixed.EMA_DECAY, block: int = BLOCK) -> DataFrame:
     """Exponential moving average from 0 over each run's ordered steps. A row without a value has none and leaves it as it is.
 
-    A run may be a third of all rows: fixed blocks of BLOCK steps are folded each by itself, from 0. What is carried into a block
-    is a scan over one small row per block, and shrinks by `decay` with each value."""
-    keys = [F.col(run).isNull().alias("_none"), F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_run"), F.coalesce(F.floor(F.col(step) / BLOCK), F.lit(-(1 << 63))).alias("_block")]
+    A run may be a third of all rows: fixed blocks of `block` steps are folded each by itself, from 0. What is carried into a block
+    is a scan over one small row per block, and shrinks by `decay` with each value. A block's time grows with the square of its
+    rows; where runs share one count of steps, so that each has few of them, larger blocks make fewer rows to scan."""
+    keys = [F.col(run).isNull().alias("_none"), F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_run"), F.coalesce(F.floor(F.col(step) / block), F.lit(-(1 << 63))).alias("_block")]
     lists = df.groupBy(*keys).agg(F.first(run).alias("_own"), F.array_sort(F.collect_list(F.struct(step, value))).alias("x"))
     last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")))
     more = lambda a, v: F.struct((last(a)["k"] + 1).alias("k"), (last(a)["s"] * decay + v * round(1 - decay, 12)).alias("s"))
