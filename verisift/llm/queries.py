@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chunked_bpe import decode_ids, encode_chunked
 from .common import lookup_table
 from .decontamination import find_contamination
+from .fill_in_middle import fill_in_middle, restore_texts
 from .fingerprints import fingerprint_documents
 from .language import identify_languages
 from .ngram_join import jaccard_components
@@ -15,6 +18,7 @@ from .substring_dedup import dedup_substrings
 from .token_files import token_files
 from .tokens import encode_documents
 from .toxicity import score_toxicity
+from .whitening import whiten_embeddings
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -64,5 +68,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(lookup_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_bpe, op7_ngram_jaccard, op8_fingerprints, op9_language, op10_token_files)}
-ORACLES: dict[str, str] = {}
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    done = decode_ids(encode_chunked(lookup_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whiten_embeddings(lookup_table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = restore_texts(fill_in_middle(lookup_table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+_OPERATORS = (op1_sharding, op2_quality, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_bpe, op7_ngram_jaccard, op8_fingerprints, op9_language, op10_token_files, op11_chunked_bpe, op12_whitening, op13_fill_in_middle)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES: dict[str, str] = {
+    "op13_fill_in_middle": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+        g AS (SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM h),
+        c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS z,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+        p AS (SELECT doc_id, t, n, form, a, z - a AS m, left(t, a) AS prefix, substring(t, a + 1, z - a) AS middle, substring(t, z + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+        FROM p
+    """,
+}
