@@ -23,7 +23,7 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_json_files(spark, tmp_path):
-    for name, text in {"p.1": '{"id": 1}', "bad": '{"id": ', "q": '{"id": 2}'}.items():
+    for name, text in {"p.1": '{\n "id":\n 1}\n', "bad": '{"id": ', "q": '{"id": 2}'}.items():
         (tmp_path / f"{name}.json").write_text(text)
     (tmp_path / "other.txt").write_text("x")
     got = {x["name"]: x["doc"] and x["doc"]["id"] for x in files.read_json_files(spark, str(tmp_path), "id long").collect()}

@@ -32,18 +32,73 @@ def lookup_score(entity: Column, metric: Column) -> Column:
     return t.similarity(entity, F.col("entity_norm")) * 0.7 + F.when(metric == "", F.lit(0.5)).otherwise(t.similarity(metric, F.col("metric_norm"))) * 0.3
 
 
+def _layout(length: Column, slack: float) -> Column:
+    """How names of about this length are cut: lengths fall into eight ranges an octave (single ones below 16); names of a range
+    allow for `edits` and have one piece more, the first `rest` of them a character longer than `base`."""
+    width = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.length(F.bin(length.cast("long"))) - 4))
+    reach = lambda w: F.struct((length - length % w).alias("low"), (length - length % w + w - 1).alias("high"))
+    edits = lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high"), F.floor(r["high"] * slack + 1e-9).cast("int").alias("edits"))
+    cut = lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high"), r["edits"].alias("edits"), F.floor(r["low"] / (r["edits"] + 1)).cast("int").alias("base"), (r["low"] % (r["edits"] + 1)).alias("rest"))
+    return t.let(width, lambda w: t.let(reach(w), lambda r: t.let(edits(r), cut)))
+
+
+def _pieces(lay: Column, piece) -> Column:
+    """piece(i, start, size) of every piece of a layout."""
+    return F.transform(F.sequence(F.lit(0), lay["edits"]), lambda i: piece(i, i * lay["base"] + F.least(i, lay["rest"]), lay["base"] + (i < lay["rest"]).cast("int")))
+
+
+def own_piece_keys(paper: Column, name: Column, slack: float) -> Column:
+    """Keys of the pieces of a name: of its edits + 1 pieces a name within that many edits leaves one whole."""
+    lay = _layout(F.length(name), slack)
+    return t.let(lay, lambda at: _pieces(at, lambda i, start, size: F.xxhash64(paper, at["low"], i, F.substr(name, start + 1, size))))
+
+
+def reached_piece_keys(paper: Column, name: Column, slack: float) -> Column:
+    """Keys under which a name meets the pieces of names that are as long or longer and may lie within their edits: piece i can
+    have moved by at most i places from the left, and by at most edits - i from the right."""
+    m = F.length(name)
+    layouts = F.array_distinct(F.transform(F.sequence(m, F.floor(m / (1 - slack) + 1e-9).cast("int")), lambda n: _layout(n, slack)))
+
+    def of(at: Column) -> Column:
+        def places(i, start, size):
+            first = F.greatest(F.lit(0), start - i, start - (at["high"] - m) - (at["edits"] - i))
+            last = F.least(m - size, start + i, start - (at["low"] - m) + (at["edits"] - i))
+            some = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(some, lambda q: F.xxhash64(paper, at["low"], i, F.substr(name, q + 1, size)))
+
+        return F.flatten(_pieces(at, places))
+
+    return F.array_distinct(F.flatten(F.transform(layouts, of)))
+
+
+def near_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs of asked(paper_id, probe_entity) and known(paper_id, entity_norm), distinct names of a paper, whose similarity may
+    reach `least`: names that share no piece where it could stand never meet. A `least` of 0 or below rules nothing out."""
+    if least <= 0:
+        return asked.join(known, "paper_id")
+    slack = 1 - least
+    keyed = lambda df, name, keys: df.select("paper_id", name, F.explode(keys(F.col("paper_id"), F.col(name), slack)).alias("key"))
+    longer = keyed(asked, "probe_entity", own_piece_keys).join(keyed(known, "entity_norm", reached_piece_keys), ["paper_id", "key"])
+    shorter = keyed(asked, "probe_entity", reached_piece_keys).join(keyed(known, "entity_norm", own_piece_keys), ["paper_id", "key"])
+    pairs = longer.union(shorter.select(longer.columns)).select("paper_id", "probe_entity", "entity_norm").distinct()
+    return pairs.where(t.similarity(F.col("probe_entity"), F.col("entity_norm")) >= least - 1e-9)
+
+
 def fuzzy_lookup(probes: DataFrame, records: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per probe (paper_id, probe_entity, probe_metric) and table the best record by score, the first on ties, if it reaches the threshold.
 
-    Probes are made distinct first: many claims ask for one name. Names whose lengths alone rule the threshold out never
-    reach the edit distance. Ranks are a window, which Spark prunes to the first row per task before the exchange."""
-    asked = probes.select("paper_id", "probe_entity", "probe_metric").distinct()
-    met = asked.join(records, "paper_id")
-    longest, shortest = F.greatest(F.length("probe_entity"), F.length("entity_norm")), F.least(F.length("probe_entity"), F.length("entity_norm"))
-    met = met.where((longest == 0) | (shortest >= longest * ((threshold - 0.3) / 0.7 - 1e-9)))
-    met = met.withColumn("score", lookup_score(F.col("probe_entity"), F.col("probe_metric")))
+    Many claims ask for one name and many records bear one, so distinct names meet, by an index of their pieces; of the records
+    of a table with one name and metric only the first can win. Ranks are a window, which Spark prunes before the exchange.
+    Null names meet nothing; repeated rows count once; other columns of records come along."""
+    asked = probes.select("paper_id", "probe_entity", "probe_metric").where("probe_entity is not null and probe_metric is not null").distinct()
+    names = ["paper_id", "table_ord", "entity_norm", "metric_norm"]
+    others = [F.col(f"`{c}`") for c in records.columns if c not in names]
+    first = records.where("entity_norm is not null and metric_norm is not null").groupBy(*names).agg(F.min_by(F.struct(*others), "rec_ord").alias("_first")).select(*names, "_first.*")
+    near = near_names(asked.select("paper_id", "probe_entity").distinct(), first.select("paper_id", "entity_norm").distinct(), (threshold - 0.3) / 0.7)
+    met = asked.join(near, ["paper_id", "probe_entity"]).join(first, ["paper_id", "entity_norm"]).withColumn("score", lookup_score(F.col("probe_entity"), F.col("probe_metric")))
     best = Window.partitionBy("paper_id", "probe_entity", "probe_metric", "table_ord").orderBy(F.desc("score"), "rec_ord")
-    return met.withColumn("_rank", F.row_number().over(best)).where((F.col("_rank") == 1) & (F.col("score") >= threshold)).drop("_rank")
+    ranked = met.withColumn("_rank", F.row_number().over(best)).where((F.col("_rank") == 1) & (F.col("score") >= threshold))
+    return ranked.select("paper_id", "probe_entity", "probe_metric", *[f"`{c}`" for c in records.columns if c != "paper_id"], "score")
 
 
 def best_table(found: DataFrame) -> DataFrame:
@@ -141,6 +196,38 @@ def fused_reward(layers: dict[int, Column]) -> Column:
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 
+def _parts(name: Column, sizes: Column) -> Column:
+    """The distinct parts of a name that have one of these sizes."""
+    each = F.transform(F.filter(sizes, lambda n: n <= F.length(name)), lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda p: F.substr(name, p, n)))
+    return F.array_distinct(F.flatten(each))
+
+
+def _with_parts(holders: DataFrame, held: DataFrame) -> DataFrame:
+    """(paper_id, whole, part) for the names of `holders` that hold a name of `held`, both distinct (paper_id, name).
+
+    A name meets, as keys, its parts of the sizes that the paper's other names have: no pair of names is compared."""
+    sizes = held.groupBy("paper_id").agg(F.sort_array(F.collect_set(F.length("name"))).alias("sizes"))
+    parts = holders.join(sizes, "paper_id").select("paper_id", F.col("name").alias("whole"), F.explode(_parts(F.col("name"), F.col("sizes"))).alias("part"))
+    return parts.join(held.select("paper_id", F.col("name").alias("part")), ["paper_id", "part"], "left_semi").select("paper_id", "whole", "part")
+
+
+def touched_names(claimed: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct names of known(paper_id, name) that hold one of claimed(paper_id, name), or are held by one. Null names touch
+    nothing; an empty name is held by all."""
+    asked, there = (x.where("name is not null").distinct() for x in (claimed, known))
+    holding = _with_parts(there, asked).select("paper_id", F.col("whole").alias("name"))
+    inside = _with_parts(asked, there).select("paper_id", F.col("part").alias("name"))
+    return holding.union(inside).distinct()
+
+
+def covered_share(claimed: DataFrame, records: DataFrame) -> DataFrame:
+    """A3: (paper_id, covered): the share of a paper's records whose name is touched by one of claimed(paper_id, name)."""
+    hit = touched_names(claimed, records.select("paper_id", F.col("entity_norm").alias("name"))).select("paper_id", F.col("name").alias("entity_norm"), F.lit(1).alias("_hit"))
+    # records of one name are one row with a count before they meet the names
+    counts = records.groupBy("paper_id", "entity_norm").agg(F.count_distinct("table_ord", "rec_ord").alias("_n"))
+    return counts.join(hit, ["paper_id", "entity_norm"], "left").groupBy("paper_id").agg((F.sum(F.coalesce("_hit", F.lit(0)) * F.col("_n")) / F.sum("_n")).alias("covered"))
+
+
 def reward_by_paper(responses: DataFrame, records: DataFrame) -> DataFrame:
     """A1 to A5 with blank layer-2 evidence: per paper_id of responses base, coverage, specificity and total of its claims; zero
     where it has none, and coverage zero where it has no records.
@@ -151,9 +238,7 @@ def reward_by_paper(responses: DataFrame, records: DataFrame) -> DataFrame:
     exact = F.when(F.array_contains("layers", 0) & (F.col("confidence0") >= fixed.GATE), F.col("reward0"))
     fused = fused_reward({0: exact, 2: F.when(exact.isNull(), F.lit(0.0))})
     scored = checked.withColumn("claim_reward", fused).groupBy("paper_id").agg(F.avg("claim_reward").alias("base"), F.avg(F.arrays_overlap("layers", F.array(F.lit(0), F.lit(1))).cast("double")).alias("specific"), F.count("*").alias("claims"))
-    names = claims.select("paper_id", F.explode("entities.normalized").alias("name")).distinct()
-    touched = records.join(names, "paper_id", "left").groupBy("paper_id", "table_ord", "rec_ord").agg(F.max(F.coalesce(F.col("entity_norm").contains(F.col("name")) | F.col("name").contains(F.col("entity_norm")), F.lit(False)).cast("int")).alias("hit"))
-    covered = touched.groupBy("paper_id").agg(F.avg("hit").alias("covered"))
+    covered = covered_share(claims.select("paper_id", F.explode("entities.normalized").alias("name")), records)
     both = responses.select("paper_id").distinct().join(scored, "paper_id", "left").join(covered, "paper_id", "left")
     both = both.select("paper_id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("claims", "base", "specific", "covered")])
     return both.select("paper_id", "claims", "base", (F.col("specific") * 0.05).alias("specificity"), (F.least(F.col("covered"), F.lit(1.0)) * 0.1).alias("coverage")).withColumn("total", F.col("base") + F.col("coverage") + F.col("specificity"))

@@ -17,7 +17,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """IO2: (name, doc): one object per file, `name` without folder and ending; a bad file has a null `doc`, so that it can be counted."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
     return files.select(name.alias("name"), F.when(F.get_json_object("value", "$").isNotNull(), F.from_json("value", schema)).alias("doc"))
 
