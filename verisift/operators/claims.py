@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as t
+from ..sources.shared import kept
 
 
 def extract_claims(responses: DataFrame) -> DataFrame:
@@ -47,13 +48,13 @@ def _pieces(lay: Column, piece) -> Column:
     return F.transform(F.sequence(F.lit(0), lay["edits"]), lambda i: piece(i, i * lay["base"] + F.least(i, lay["rest"]), lay["base"] + (i < lay["rest"]).cast("int")))
 
 
-def own_piece_keys(paper: Column, name: Column, slack: float) -> Column:
+def own_piece_keys(paper: Column, name: Column, slack: float, side: str) -> Column:
     """Keys of the pieces of a name: of its edits + 1 pieces a name within that many edits leaves one whole."""
     lay = _layout(F.length(name), slack)
-    return t.let(lay, lambda at: _pieces(at, lambda i, start, size: F.xxhash64(paper, at["low"], i, F.substr(name, start + 1, size))))
+    return t.let(lay, lambda at: _pieces(at, lambda i, start, size: F.xxhash64(paper, F.lit(side), at["low"], i, F.substr(name, start + 1, size))))
 
 
-def reached_piece_keys(paper: Column, name: Column, slack: float) -> Column:
+def reached_piece_keys(paper: Column, name: Column, slack: float, side: str) -> Column:
     """Keys under which a name meets the pieces of names that are as long or longer and may lie within their edits: piece i can
     have moved by at most i places from the left, and by at most edits - i from the right."""
     m = F.length(name)
@@ -64,7 +65,7 @@ def reached_piece_keys(paper: Column, name: Column, slack: float) -> Column:
             first = F.greatest(F.lit(0), start - i, start - (at["high"] - m) - (at["edits"] - i))
             last = F.least(m - size, start + i, start - (at["low"] - m) + (at["edits"] - i))
             some = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(some, lambda q: F.xxhash64(paper, at["low"], i, F.substr(name, q + 1, size)))
+            return F.transform(some, lambda q: F.xxhash64(paper, F.lit(side), at["low"], i, F.substr(name, q + 1, size)))
 
         return F.flatten(_pieces(at, places))
 
@@ -77,10 +78,14 @@ def near_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
     if least <= 0:
         return asked.join(known, "paper_id")
     slack = 1 - least
-    keyed = lambda df, name, keys: df.select("paper_id", name, F.explode(keys(F.col("paper_id"), F.col(name), slack)).alias("key"))
-    longer = keyed(asked, "probe_entity", own_piece_keys).join(keyed(known, "entity_norm", reached_piece_keys), ["paper_id", "key"])
-    shorter = keyed(asked, "probe_entity", reached_piece_keys).join(keyed(known, "entity_norm", own_piece_keys), ["paper_id", "key"])
-    pairs = longer.union(shorter.select(longer.columns)).select("paper_id", "probe_entity", "entity_norm").distinct()
+
+    def keyed(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Pieces of own names meet what the other side reaches, and the other way round."""
+        args = F.col("paper_id"), F.col(name), slack
+        return df.select("paper_id", name, F.explode(F.concat(own_piece_keys(*args, own), reached_piece_keys(*args, other))).alias("key"))
+
+    met = keyed(asked, "probe_entity", "asked", "known").join(keyed(known, "entity_norm", "known", "asked"), ["paper_id", "key"])
+    pairs = met.select("paper_id", "probe_entity", "entity_norm").distinct()
     return pairs.where(t.similarity(F.col("probe_entity"), F.col("entity_norm")) >= least - 1e-9)
 
 
@@ -232,8 +237,9 @@ def reward_by_paper(responses: DataFrame, records: DataFrame) -> DataFrame:
     """A1 to A5 with blank layer-2 evidence: per paper_id of responses base, coverage, specificity and total of its claims; zero
     where it has none, and coverage zero where it has no records.
 
-    responses: (paper_id, claim_ord, text), each text one response part of its paper."""
-    claims = route(extract_claims(responses))
+    responses: (paper_id, claim_ord, text), each text one response part of its paper. Its claims are written once: what reads them
+    would else parse every text again."""
+    claims = kept(route(extract_claims(responses)).drop("text"), "claims")
     checked = verify_values(claims, records)
     exact = F.when(F.array_contains("layers", 0) & (F.col("confidence0") >= fixed.GATE), F.col("reward0"))
     fused = fused_reward({0: exact, 2: F.when(exact.isNull(), F.lit(0.0))})

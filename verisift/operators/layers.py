@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as t
+from ..sources.shared import kept
 from . import claims as c
 
 #: Values that a sequence without a matching column has at most.
@@ -76,8 +77,8 @@ def judge_reward(score: Column) -> Column:
 def layered_rewards(responses: DataFrame, records: DataFrame, evidence: DataFrame, head: DataFrame | None = None, by_column: bool = False) -> DataFrame:
     """A1: every claim of responses(paper_id, response_id, text) with `claim_reward` from the layers that fired; response_id is unique in a paper.
 
-    Layers 0 and 1 fire with confidence of the gate at least, else the learned layer does."""
-    found = c.route(c.extract_claims(responses)).withColumn("claim_ord", F.xxhash64("response_id", "sentence_ord"))
+    Layers 0 and 1 fire with confidence of the gate at least, else the learned layer does. Claims are written once, as all layers read them."""
+    found = kept(c.route(c.extract_claims(responses)).withColumn("claim_ord", F.xxhash64("response_id", "sentence_ord")), "claims")
     done = verify_learned(verify_semi_symbolic(c.verify_values(found, records), records, by_column), evidence, head)
     has = lambda k: F.array_contains("layers", k)
     sure = lambda k: F.col(f"confidence{k}") >= fixed.GATE

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import claims as c
 from ..operators import coverage as cov
 from ..operators import layers as ly
-from ..sources.evidence import RECORDS_SQL, fact_records, table
+from ..sources.evidence import RECORDS_SQL, fact_records, stored_records, table
 from .registry import query
 
 # A claim per pair of part types of a paper, by three templates; and one trend claim per type.
@@ -40,14 +40,14 @@ def _claim_texts(records):
 
 @query(f"WITH {PAIRS_SQL} SELECT paper_id, response_id, CASE WHEN holds THEN 0.8::DOUBLE ELSE -0.8::DOUBLE END AS reward1, 0.9::DOUBLE AS confidence1 FROM relational UNION ALL SELECT paper_id, response_id, CASE WHEN holds THEN 0.8::DOUBLE ELSE -0.8::DOUBLE END, 0.75::DOUBLE FROM trends")
 def v6_v8_v9_semi_symbolic(spark, sf_dir):
-    records = fact_records(spark, sf_dir)
+    records = stored_records(spark, sf_dir)
     claims = c.route(c.extract_claims(_claim_texts(records))).withColumn("claim_ord", F.col("response_id"))
     return ly.verify_semi_symbolic(claims, records).select("paper_id", "response_id", "reward1", "confidence1")
 
 
 @query(f"WITH {PAIRS_SQL}, r AS (SELECT paper_id, holds FROM relational UNION ALL SELECT paper_id, holds FROM trends) SELECT paper_id, count(*) AS claims, round(avg(CASE WHEN holds THEN 0.8 ELSE -0.8 END), 6) AS base FROM r GROUP BY 1")
 def a1_layered_reward(spark, sf_dir):
-    records = fact_records(spark, sf_dir)
+    records = stored_records(spark, sf_dir)
     evidence = records.select("paper_id").distinct().withColumn("evidence", F.lit("no table speaks of it"))
     done = ly.layered_rewards(_claim_texts(records), records, evidence)
     return done.groupBy("paper_id").agg(F.count("*").alias("claims"), F.round(F.avg("claim_reward"), 6).alias("base"))

@@ -11,7 +11,7 @@ from ..operators import claims as c
 from ..operators import html_tables as ht
 from ..operators import metrics as m
 from ..operators import sampling as s
-from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, RECORDS_SQL, fact_records, paired_documents, rendered_claims, table
+from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, RECORDS_SQL, fact_records, paired_documents, rendered_claims, stored_records, table
 from . import construction, index, layers, responses, sets  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
@@ -23,7 +23,7 @@ from .registry import ORACLES, QUERIES, H, query  # noqa: F401
     SELECT paper_id, claims, round(base, 6) AS base, round(specificity, 6) AS specificity, round(coverage, 6) AS coverage, round(base + coverage + specificity, 6) AS total FROM scored JOIN covered USING (paper_id)"""
 )
 def flagship_reward_by_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = fact_records(spark, sf_dir)
+    records = stored_records(spark, sf_dir)
     out = c.reward_by_paper(rendered_claims(records), records)
     return out.select("paper_id", "claims", *[F.round(x, 6).alias(x) for x in ("base", "specificity", "coverage", "total")])
 
@@ -45,7 +45,7 @@ def c1_to_c14_claims(spark, sf_dir):
     f"""WITH {CLAIMS_SQL} SELECT paper_id, claim_ord, verdict AS reward0, CASE WHEN kind IN (2, 3) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence0 FROM claims"""
 )
 def v4_symbolic_verify(spark, sf_dir):
-    records = fact_records(spark, sf_dir)
+    records = stored_records(spark, sf_dir)
     return c.verify_values(c.extract_claims(rendered_claims(records)), records).select("paper_id", "claim_ord", "reward0", F.round("confidence0", 9).alias("confidence0"))
 
 
@@ -56,7 +56,7 @@ def v4_symbolic_verify(spark, sf_dir):
     SELECT paper_id, probe_entity, probe_metric, table_ord, rec_ord, value, round(score, 9) AS score FROM won WHERE score >= 0.7 AND value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paper_id, probe_entity, probe_metric ORDER BY score DESC, table_ord) = 1"""
 )
 def j6_j7_fuzzy_lookup(spark, sf_dir):
-    records = fact_records(spark, sf_dir)
+    records = stored_records(spark, sf_dir)
     probes = records.select("paper_id", F.expr("substr(entity_norm, 1, length(entity_norm) - 1)").alias("probe_entity"), F.col("metric_norm").alias("probe_metric"))
     return c.best_table(c.fuzzy_lookup(probes, records, 0.7)).select("paper_id", "probe_entity", "probe_metric", "table_ord", "rec_ord", "value", F.round("score", 9).alias("score"))
 
@@ -66,7 +66,7 @@ def j6_j7_fuzzy_lookup(spark, sf_dir):
     SELECT a.paper_id, a.entity AS entity_a, b.entity AS entity_b, a.value AS value_a, b.value AS value_b, CASE WHEN a.value > b.value THEN 0.8::DOUBLE ELSE -0.8::DOUBLE END AS reward1, 0.9::DOUBLE AS confidence1 FROM one a JOIN one b USING (paper_id) WHERE a.entity < b.entity"""
 )
 def v5_relation_verify(spark, sf_dir):
-    records = fact_records(spark, sf_dir)
+    records = stored_records(spark, sf_dir)
     names = records.select("paper_id", "entity").distinct()
     pairs = names.withColumnRenamed("entity", "a").join(names.withColumnRenamed("entity", "b"), "paper_id").where("a < b")
     text = pairs.select("paper_id", F.concat("a", F.lit(" outperforms "), "b", F.lit(" in recall on this suite.")).alias("text"))

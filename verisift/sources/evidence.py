@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: value in tenths per metric, from integers alone, so that every engine gets the same
 METRICS = {"accuracy": "(sum_discount * 10) div n", "recall": "(sum_quantity * 4) div n", "latency": "n"}
 
@@ -27,6 +29,11 @@ def fact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("paper_id", "table_ord", (kinds * 3 + F.col("m.k")).alias("rec_ord"), "entity", F.col("m.metric").alias("metric"), F.col("m.tenths").alias("tenths"), (F.col("m.tenths") / F.lit(10.0)).alias("value"), F.lower("entity").alias("entity_norm"), F.col("m.metric").alias("metric_norm"))
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fact_records, written once: for plans that read them in several places, so that lineitem is scanned once."""
+    return kept(fact_records(spark, sf_dir), "records")
+
+
 def paired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, evidence: each document beside one benchmark item, all items in turn; empty evidence without one."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence"))
