@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -90,7 +91,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, listed: int = LISTED) -> D
     Returns doc_id, size, text_crc32 (null text: 0), law, shard, slot (gapless from 0 in each shard), grown_shard (null).
     """
     rows = docs.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).alias("text_crc32"),
         F.coalesce(F.md5(F.encode("text", "UTF-8")), F.lit("null")).alias("h"),
@@ -124,36 +125,30 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, listed: int = LISTED) -> D
     shard = F.lit(0)
     for pos, h in starts:  # the first group of every later shard
         shard = shard + F.when((F.col("pos") > pos) | ((F.col("pos") == pos) & (F.col("h") >= h)), 1).otherwise(0)
-    placed = written(rows.withColumn("shard", shard).drop("pos", "h"))
-    return _slots(placed)
+    return _slots(rows.withColumn("shard", shard).drop("pos", "h"))
 
 
-def _slots(placed: DataFrame) -> DataFrame:
-    """Numbers each shard's rows from 0: counts by written file split, their prefix sums, then a running count in each."""
-    schema = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
-    parts = placed.rdd.getNumPartitions()
+def _slots(rows: DataFrame) -> DataFrame:
+    """Numbers each shard's rows from 0: a task that writes rows counts those of each shard and writes, beside every row, its own
+    number and the count so far; the rows of a shard in tasks before are a prefix sum. Both are read from what was written once,
+    so nothing depends on how a table is split when it is read."""
+    names = ["doc_id", "size", "text_crc32", "shard", "part", "at"]
 
     def count(batches):
-        n = {}
-        for b in batches:
-            for k, v in b["shard"].value_counts().items():
-                n[k] = n.get(k, 0) + v
-        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "shard": list(n), "n": list(n.values())}).astype("int64")
-
-    counts = placed.select("shard").mapInPandas(count, "part long, shard long, n long").toPandas().sort_values(["part", "shard"])
-    base = {(p, s): int(v) for p, s, v in zip(counts["part"], counts["shard"], counts.groupby("shard")["n"].cumsum() - counts["n"], strict=True)}
-    assert not base or max(p for p, _ in base) < parts
-
-    def number(batches):
-        part, at = TaskContext.get().partitionId(), {}
-        for b in batches:
-            if not len(b):
-                continue
-            b = b.assign(law="bytes", grown_shard=pd.array([None] * len(b), "Int32"))
-            before = b["shard"].map(lambda s: at.get(s, base[part, s])).astype("int64")
-            b["slot"] = before + b.groupby("shard").cumcount()
-            for k, v in b["shard"].value_counts().items():
-                at[k] = at.get(k, base[part, k]) + v
-            yield b[["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]]
-
-    return placed.mapInPandas(number, schema)
+        part, seen = TaskContext.get().partitionId(), np.zeros(0, np.int64)
+        for batch in batches:
+            shard = batch.column(3).to_numpy().astype(np.int64)
+            n = np.bincount(shard, minlength=len(seen))
+            seen = np.r_[seen, np.zeros(len(n) - len(seen), np.int64)]
+            order = np.argsort(shard, kind="stable")
+            at = np.empty(len(shard), np.int64)
+            at[order] = np.arange(len(shard)) - (np.cumsum(n) - n)[shard[order]] + seen[shard[order]]
+            seen = seen + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), part, np.int32)), pa.array(at)], names=names)
+
+    counted = rows.select("doc_id", F.col("size").cast("long").alias("size"), F.col("text_crc32").cast("long").alias("text_crc32"), F.col("shard").cast("int").alias("shard"))
+    placed = written(counted.mapInArrow(count, "doc_id long, size long, text_crc32 long, shard int, part int, at long"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = placed.groupBy("part", "shard").agg(F.count("*").alias("n")).select("part", "shard", before.alias("base"))
+    slot = (F.col("base") + F.col("at")).alias("slot")
+    return placed.join(bases, ["part", "shard"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
