@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: An entry c becomes floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
 #: Entries whose |SCALE * c| is larger are no numbers to whiten by: their rows go, as those with non-finite ones do.
@@ -214,8 +216,10 @@ def whiten_embeddings(table: DataFrame, id_column: str = "vec_id", vector_column
     component (from 1, by falling eigenvalue), n, deviation decimal(38,0) (exact sum of (n * x - S) ** 2), whitened, explained
     (share of the trace), identity_error (one value for all).
     """
-    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    rows = table.select(name(id_column).cast("long").alias("vec_id"), name(vector_column).cast("array<double>").alias("vector"))
+    vector = quoted(vector_column)
+    if dict(table.dtypes)[vector_column] not in ("array<float>", "array<double>"):  # those two are widened in the tasks
+        vector = vector.cast("array<double>")
+    rows = table.select(quoted(id_column).cast("long").alias("vec_id"), vector.alias("vector"))
     fit = fit_whitening(rows.select("vector"), components)
     schema = "vec_id long, deviation string, whitened array<double>"
     if fit is None:
