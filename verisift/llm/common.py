@@ -70,6 +70,19 @@ def group_count(total_bytes: int, group_bytes: int = GROUP_BYTES) -> int:
     return max(1, math.ceil(total_bytes / group_bytes))
 
 
+def quoted(name: str):
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def lookup_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,8 @@
 Numbers, units after numbers and capitalised names become typed placeholders; other words lose their case and punctuation.
 Every window of a benchmark item and of a document is hashed by its template; item windows with names, or with few words that
 are no placeholder, by their words too, without case; items below the window's length are hashed whole. Windows that meet give
-a document, an item and an offset; there the whole item is laid over the document and matching words are counted. A verbatim
-run of PROOF words is a passage; in others each of the item's values must stand for one value of the document.
+a document, a class of items of one template, and an offset; there the class is laid over the document and matching words are
+counted. A verbatim run of PROOF words is a passage; in others each of the item's values must stand for one value of the document.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, written
+
 #: Words of a window, words in it that are no placeholder at least, matching words that prove a passage, and their share of a shorter item.
 WINDOW, LITERAL, PROOF, SHARE = 7, 3, 13, 0.8
 #: Share of a passage's placeholders that may hold a second value for one of the item's.
 CONFLICT = 0.15
-#: Benchmark windows up to this many rows (about 32 bytes each) are broadcast, more are joined by an exchange.
+#: Benchmark windows up to this many rows (about 32 bytes each), and as many hits, are broadcast, more are joined by an exchange.
 BROADCAST_ROWS = 500_000
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hr", "hrs", "hours", "minutes", "seconds", "days", "weeks", "years", "miles", "meters", "metres", "feet", "dollars", "cents", "euros", "percent", "mph", "kmh", "usd", "eur")
 _MARKS = ".,;:!?\"'()[]{}"
@@ -48,15 +50,30 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item (a hash of id and text, so that null and repeated ids keep each text apart), item_id, item_words, item_template."""
-    named = F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "item_id", "text")
-    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().withColumn("item", named)
-    rows = rows.select("item", "item_id", _words(_plain(F.col("text"))).alias("item_words"), _template(_plain(F.col("text"))).alias("item_template"))
-    return rows.where(F.size("item_template") > 0)
+    """class, item_id, item_words, item_template, places (of the slots), pattern (for each slot the first one of equal value).
+
+    Items of one template whose values repeat alike form a class: documents meet it once, however many items it has."""
+    rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    rows = rows.select("item_id", _words(_plain(F.col("text"))).alias("item_words"), _template(_plain(F.col("text"))).alias("item_template")).where(F.size("item_template") > 0)
+    places = F.filter(F.sequence(F.lit(0), F.size("item_template") - 1), lambda i: F.get("item_template", i).contains("<"))
+    values = F.transform("places", lambda i: F.struct(F.get("item_template", i), F.get("item_words", i)))
+    pattern = _let(values, lambda all_: F.transform(all_, lambda v: F.array_position(all_, v)))
+    rows = rows.withColumn("places", places).withColumn("pattern", pattern)
+    return rows.withColumn("class", F.xxhash64("item_template", "pattern"))
+
+
+def _classes(items: DataFrame) -> DataFrame:
+    """class, item_id (the smallest), n_items, and what its items have in common."""
+    return items.groupBy("class").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), *[F.first(c).alias(c) for c in ("item_template", "places", "pattern")])
+
+
+def _values(items: DataFrame) -> DataFrame:
+    """class, i, v: the words that its items have at a slot."""
+    return items.select("class", F.explode(F.transform("places", lambda i: F.struct(i.alias("i"), F.get("item_words", i).alias("v")))).alias("s")).select("class", "s.i", "s.v").distinct()
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item, at, size, raw, key for every window; an item below the window's length is one by itself.
+    """class, at, size, raw, key, distinct, for every window; an item below the window's length is one by itself.
 
     A window with enough words that are no placeholder is keyed by its template. The others, short items, and windows with a
     name, which other case would hide, are keyed by their words (raw)."""
@@ -64,13 +81,13 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     by_words = F.when(length >= window, _keys(F.col("item_words"), window))
     for n in range(1, window):
         by_words = by_words.when(length == n, _keys(F.col("item_words"), n))
-    sized = items.select("item", "item_template", F.least(F.lit(window), length).alias("size"), _keys(F.col("item_template"), window).alias("t"), by_words.alias("w"))
-    at = sized.select("item", "item_template", "size", "t", F.posexplode("w").alias("at", "word_key"))
+    sized = items.select("class", "item_template", F.least(F.lit(window), length).alias("size"), _keys(F.col("item_template"), window).alias("t"), by_words.alias("w"))
+    at = sized.select("class", "item_template", "size", "t", F.posexplode("w").alias("at", "word_key"))
     part = F.slice("item_template", F.col("at") + 1, F.col("size"))
     by_template = (F.size(F.filter(part, lambda w: ~w.contains("<"))) >= LITERAL) & (F.col("size") == window)
     named = F.exists(part, lambda w: w.contains("<name>"))
     each = F.array(F.when(by_template, F.struct(F.lit(False).alias("raw"), F.get("t", F.col("at")).alias("key"))), F.when(~by_template | named, F.struct(F.lit(True).alias("raw"), F.col("word_key").alias("key"))))
-    return at.select("item", "at", "size", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k")).select("item", "at", "size", "k.raw", "k.key")
+    return at.select("class", "at", "size", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("k")).select("class", "at", "size", "k.raw", "k.key").distinct()
 
 
 def _let(value: Column, then) -> Column:
@@ -92,7 +109,7 @@ def _keys(words: Column, size: int) -> Column:
 
 
 def _hits(docs: DataFrame, windows: DataFrame, held: list, window: int) -> DataFrame:
-    """_row and, for each item and offset at which windows meet, a small hit: texts are joined to it later."""
+    """_row and, for each class and offset at which windows meet, a small hit: texts are joined to it later."""
     raw_sizes = sorted({r["size"] for r in held if r["raw"]})
     texts = _held(docs.select("_row", "text"), "plain", _plain(F.col("text"))).select("_row", "plain")
     texts = _held(texts, "template", _template(F.col("plain")))
@@ -100,16 +117,13 @@ def _hits(docs: DataFrame, windows: DataFrame, held: list, window: int) -> DataF
         texts = _held(texts, "words", _words(F.col("plain")))
     at_all = F.explode(F.array(_keys(F.col("template"), window), *[_keys(F.col("words"), n) for n in raw_sizes])).alias("keys")
     keys = texts.select("_row", at_all).select("_row", F.posexplode("keys").alias("place", "key"))
-    small = windows.select("key", "item", "at").distinct()
-    small = F.broadcast(small) if sum(r["count"] for r in held) <= BROADCAST_ROWS else small
-    met = keys.join(small, "key").select("_row", "item", (F.col("place") - F.col("at")).alias("offset"))
-    return met.groupBy("_row").agg(F.collect_set(F.struct("item", "offset")).alias("hits"))
+    return keys.join(windows.select("key", "class", "at"), "key").select("_row", "class", (F.col("place") - F.col("at")).alias("offset")).distinct()
 
 
 def _consistent(slots: Column) -> Column:
     """Each value of the item stands for one value of the document, but for a small share of the slots; the reverse isn't asked."""
-    own = F.transform(slots, lambda s: F.struct(s["t"], s["v"]))
-    return F.size(F.array_distinct(slots)) - F.size(F.array_distinct(own)) <= CONFLICT * F.size(slots)
+    own = F.array_distinct(F.transform(slots, lambda s: s["p"]))
+    return F.size(F.array_distinct(slots)) - F.size(own) <= CONFLICT * F.size(slots)
 
 
 def _runs(places: Column) -> Column:
@@ -118,60 +132,86 @@ def _runs(places: Column) -> Column:
     return F.arrays_zip(first.alias("first"), last.alias("last"))
 
 
-def _laid(each: DataFrame) -> DataFrame:
-    """Each hit's words laid over the document: `same` are the places of equal words or template words, `verbatim` those of equal words."""
-    t, w, off = F.col("hit.item_template"), F.col("hit.item_words"), F.col("hit.offset")
-    first, last = F.greatest(F.lit(0), -off), F.least(F.size(t), F.size("_template") - off) - 1
-    equal = lambda i: F.get(w, i) == F.get(F.col("_words"), i + off)
-    same = F.when(last >= first, F.filter(F.sequence(first, last), lambda i: equal(i) | (F.get(t, i) == F.get(F.col("_template"), i + off)))).otherwise(F.array().cast("array<int>"))
-    verbatim = F.filter("same", equal)
-    slots = F.transform(F.filter("same", lambda i: F.get(t, i).contains("<")), lambda i: F.struct(i.alias("i"), F.get(t, i).alias("t"), F.get(w, i).alias("v"), F.get(F.col("_words"), i + off).alias("d")))
-    return _held(_held(_held(each, "same", same), "verbatim", verbatim), "slots", slots)
+def _cut(docs: DataFrame, hits: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, _row, the class's columns, offset, first (the item's first word inside the document), and the document's words and
+    template words under the item: no longer than it."""
+    rows = docs.join(hits, "_row").select("doc_id", "_row", "class", "offset", _template(_plain(F.col("text"))).alias("_t"), _words(_plain(F.col("text"))).alias("_w"))
+    met = rows.join(classes, "class")
+    first, last = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("item_template"), F.size("_t") - F.col("offset"))
+    part = lambda c: F.when(last > first, F.slice(c, first + F.col("offset") + 1, last - first)).otherwise(F.array().cast("array<string>"))
+    return met.select("doc_id", "_row", *classes.columns, "offset", first.alias("first"), part("_t").alias("t"), part("_w").alias("w"))
+
+
+def _laid(met: DataFrame, known: DataFrame) -> DataFrame:
+    """Each class laid over a document: `same` are the places of equal words or template words, `verbatim` those of equal words; a
+    slot's word is equal to that of any item of the class (known). slots: the class's value there and the document's."""
+    t = F.col("item_template")
+    doc = lambda c, i: F.get(c, i - F.col("first"))
+    slot = lambda i: F.get(t, i).contains("<")
+    equal = lambda i: F.when(slot(i), F.coalesce(F.array_contains("known", i), F.lit(False))).otherwise(F.get(t, i) == doc("w", i))
+    places = F.when(F.size("t") > 0, F.sequence(F.col("first"), F.col("first") + F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.filter(places, lambda i: equal(i) | (F.get(t, i) == doc("t", i)))
+    value = lambda i: F.get("pattern", (F.array_position("places", i) - 1).cast("int"))
+    slots = F.transform(F.filter("same", slot), lambda i: F.struct(i.alias("i"), value(i).alias("p"), doc("w", i).alias("d")))
+    each = met.join(known, ["_row", "class", "offset"], "left")
+    return _held(_held(_held(each, "same", same), "verbatim", F.filter("same", equal)), "slots", slots)
 
 
 def _proved() -> Column:
     """A verbatim run proves a passage whatever lies around it; a run of equal template words, or all of them, if their slots agree."""
-    enough = lambda n: (n >= PROOF) | (n >= SHARE * F.size("hit.item_template"))
-    values = lambda slots: F.transform(slots, lambda s: F.struct(s["t"].alias("t"), s["v"].alias("v"), s["d"].alias("d")))
+    enough = lambda n: (n >= PROOF) | (n >= SHARE * F.size("item_template"))
+    values = lambda slots: F.transform(slots, lambda s: F.struct(s["p"].alias("p"), s["d"].alias("d")))
     verbatim = F.exists(_runs(F.col("verbatim")), lambda r: r["last"] - r["first"] + 1 >= PROOF)
     run = F.exists(_runs(F.col("same")), lambda r: enough(r["last"] - r["first"] + 1) & _consistent(values(F.filter("slots", lambda s: s["i"].between(r["first"], r["last"])))))
     return enough(F.size("same")) & (verbatim | _consistent(values(F.col("slots"))) | run)
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(doc_id, _row, figures of one proved hit). _row is a hash of id and text; rows that share one are laid under each other's
-    hits, each by its own text, so a clash costs time alone."""
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_rows: int) -> DataFrame:
+    """(doc_id, _row, figures of one proved hit). _row is a hash of id and text that tells rows apart."""
     items = _items(benchmark)
     windows = benchmark_windows(items, window)
     held = windows.groupBy("raw", "size").count().collect()
-    hits = _hits(docs, windows, held, window)
-    met = docs.join(hits, "_row").select("doc_id", "_row", _template(_plain(F.col("text"))).alias("_template"), _words(_plain(F.col("text"))).alias("_words"), F.explode("hits").alias("_hit"))
-    items = F.broadcast(items) if sum(r["count"] for r in held) <= BROADCAST_ROWS else items
-    hit = F.struct("item_id", "item_words", "item_template", F.col("_hit.offset").alias("offset")).alias("hit")
-    laid = _laid(met.join(items, F.col("_hit.item") == F.col("item")).select("doc_id", "_row", "_template", "_words", hit))
-    return laid.where(_proved()).select("doc_id", "_row", "hit.item_id", "hit.offset", F.size("hit.item_template").alias("item_size"), F.size("same").alias("matched"), F.size("slots").alias("slots"))
+    bounded = sum(r["count"] for r in held) <= broadcast_rows
+    small = lambda df: F.broadcast(df) if bounded else df
+    hits = written(_hits(docs, small(windows), held, window))
+    # few hits go to the texts; only if they are many do texts move to them
+    few = hits.count() <= broadcast_rows
+    met = written(_cut(docs, F.broadcast(hits) if few else hits, small(_classes(items))))
+    slots = met.select("_row", "class", "offset", F.explode(F.filter(F.transform("places", lambda i: F.struct(i.alias("i"), F.get("w", i - F.col("first")).alias("v"))), lambda s: s["v"].isNotNull())).alias("s"))
+    known = slots.select("_row", "class", "offset", "s.i", "s.v").join(small(_values(items)), ["class", "i", "v"], "left_semi")
+    laid = _laid(met, known.groupBy("_row", "class", "offset").agg(F.collect_set("i").alias("known")))
+    return laid.where(_proved()).select("doc_id", "_row", "item_id", "n_items", "offset", F.size("item_template").alias("item_size"), F.size("same").alias("matched"), F.size("slots").alias("slots"))
 
 
 def _row() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Benchmark items in docs(doc_id, text), verbatim or with other numbers, names and units; benchmark(item_id, text).
 
     Null and empty texts hold nothing. Case is ignored, and `120km` is `120 km`. Items of fewer than `window` words, and windows
-    with fewer than LITERAL words that are no placeholder, are met verbatim only. Repeated doc_ids are judged each by its own
-    text, null ones too; equal rows (doc_id and text) give one. A null item_id is an item like any other; one item_id with
-    several texts is met by each of them; repeated items count once. Empty tables give no rows; other columns are ignored.
-    One row per document row and item: doc_id, item_id, item_size, matched (words), slots (placeholders among them), offset
-    (of the item's first word in the document's words; of equal matches the first).
+    with fewer than LITERAL words that are no placeholder, are met verbatim only. Items that differ in the values of their
+    slots alone, and repeat them alike, count as one: a word of a document is verbatim at a slot if any of them has it there.
+    Repeated doc_ids are judged each by its own text, null ones too; equal rows (doc_id and text) give one. A null item_id is
+    an item like any other; one item_id with several texts is met by each of them; repeated items count once. Empty tables
+    give no rows; other columns are ignored. Up to `broadcast_rows` benchmark windows, and as many hits, are broadcast; more
+    are joined by an exchange.
+    One row per document row and class of items: doc_id, item_id (the smallest of the class), n_items, item_size, matched
+    (words), slots (placeholders among them), offset (of the item's first word in the document's words; of equal matches the first).
     """
-    each = _found(docs.select("doc_id", "text").withColumn("_row", _row()), benchmark, window)
-    best = each.groupBy("doc_id", "_row", "item_id").agg(F.max(F.struct("matched", -F.col("offset"), "item_size", "slots")).alias("b"))
-    return best.select("doc_id", "item_id", "b.item_size", "b.matched", "b.slots", (-F.col("b.col2")).alias("offset"))
+    each = _found(docs.select("doc_id", "text").withColumn("_row", _row()), benchmark, window, broadcast_rows)
+    best = each.groupBy("doc_id", "_row", "item_id").agg(F.max(F.struct("matched", (-F.col("offset")).alias("back"), "item_size", "slots", "n_items")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_items", "b.item_size", "b.matched", "b.slots", (-F.col("b.back")).alias("offset"))
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns whatever their names, in which find_contamination finds no item.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, in which find_contamination finds no item."""
-    bad = _found(docs.select("doc_id", "text").withColumn("_row", _row()), benchmark, window).select(F.col("doc_id").alias("_id"), "_row").distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == F.col("_row")), "left_anti")
+    Rows with null or empty texts stay; rows of one doc_id, null ones too, are judged each by its own text, equal rows alike.
+    Without items every row stays; an empty table stays empty."""
+    own, bad_id, bad_row = (free_name(docs, c) for c in ("row_hash", "bad_id", "bad_row"))
+    bad = _found(docs.select("doc_id", "text").withColumn("_row", _row()), benchmark, window, broadcast_rows)
+    bad = bad.select(F.col("doc_id").alias(bad_id), F.col("_row").alias(bad_row)).distinct()
+    left = docs.withColumn(own, _row()).join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_row)), "left_anti")
+    return left.drop(own)

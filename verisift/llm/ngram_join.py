@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_runs, forget, group_count, steps, text_bytes, windows, words, written
+from .common import first_of_runs, forget, free_name, group_count, quoted, steps, text_bytes, windows, words, written
 from .packed import Answers, Group, answered, dealt, sent
 
 SIZE, PERCENT = 5, 75
@@ -185,14 +185,16 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 
 def keep_one_per_component(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs with all its columns: of each component the first row by doc_id (null last) and the text's digest. Rows without words stay,
-    of equal ones (doc_id and text) one."""
+    """docs with all its columns, whatever their names: of each component the first row by doc_id (null last) and the text's digest.
+
+    Rows without words (null, empty, blank) stay, of equal ones (doc_id and text) one; so it is with repeated rows, and one with
+    null doc_ids is a row like any other. An empty table stays empty."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     rows, key = docs, "doc_id"
     if not odd.isEmpty():  # doc_id doesn't tell rows apart: their place in the order does
-        key = "_place"
+        key = free_name(docs, "place")
         rows = docs.dropDuplicates(["doc_id", "text"]).orderBy(F.col("doc_id").asc_nulls_last(), F.md5("text"))
         rows = written(rows.select("*", F.monotonically_increasing_id().alias(key)))
     named = written(jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), size, percent))
     stay = named.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
-    return rows.join(stay, key, "left_semi").select(*docs.columns)
+    return rows.join(stay, key, "left_semi").select(*map(quoted, docs.columns))

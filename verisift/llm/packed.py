@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, first_of_runs, key_of, pack40, text_buffer, unpack40
+from .common import bucket_of, first_of_runs, key_of, pack40, quoted, text_buffer, unpack40
 
 
 def dealt(docs: DataFrame, groups: int, keep_columns: bool = False) -> DataFrame:
-    """(g, doc_id, text), and the other columns as a struct `rest`; a null doc_id is dealt by its text."""
+    """(g, doc_id, text), and the other columns by place (c0, c1, ...) as a struct `rest`; a null doc_id is dealt by its text."""
     h = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    rest = [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("rest")] if keep_columns else []
+    rest = [F.struct(F.lit(0).alias("none"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]).alias("rest")] if keep_columns else []
     return docs.select(F.pmod(h, F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
 
 

@@ -177,7 +177,7 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, groups: int | None = Non
     with a null doc_id neither lose words nor cost others theirs; rows of one doc_id do not act on each other. An empty table
     gives no rows; other columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one
     space); with_text adds kept_text: the kept words so joined, or the text itself where no word was removed;
-    keep_columns adds the other columns as a struct `rest`.
+    keep_columns adds the other columns, by their places, as a struct `rest`.
     """
     rows, paths = repeated_spans(docs, span, groups, keep_columns)
 
@@ -209,10 +209,17 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, groups: int | None = Non
 
 
 def keep_first_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs with all its columns, repeated spans taken out of `text`, and `n_chars` set anew where there is such a column.
+    """docs with all its columns, whatever their names, repeated spans taken out of `text`, and `n_chars` set anew where there is such
+    a column.
 
-    Texts without a removed word stay as they are, null ones too; rows that lose every word go."""
+    Texts without a removed word stay as they are, null and empty ones too; rows that lose every word go. Rows with a null doc_id
+    lose nothing; rows of one doc_id, repeated ones too, do not act on each other. An empty table stays empty."""
     done = dedup_substrings(docs, span, with_text=True, keep_columns=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None}
-    columns = [(new[c].cast(docs.schema[c].dataType) if c in new else F.col("doc_id").cast(docs.schema[c].dataType) if c == "doc_id" else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns]
-    return done.select(*columns)
+
+    def value(i: int, c: str):
+        if c in ("doc_id", "text"):
+            return F.col("doc_id" if c == "doc_id" else "kept_text").cast(docs.schema[i].dataType)
+        own = F.col(f"rest.c{i}")
+        return F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[i].dataType)).otherwise(own) if c == "n_chars" else own
+
+    return done.select(*[value(i, c).alias(c) for i, c in enumerate(docs.columns)])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_hashes, steps, text_buffer, words, written
+from .common import quoted, range_hashes, steps, text_buffer, words, written
 
 #: Hashed features, and those of them that get a weight.
 FEATURES, WEIGHTED = 1 << 22, 1024
@@ -219,7 +219,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score_toxicity would not call toxic."""
+    """The rows of docs, with all their columns whatever their names, that score_toxicity would not call toxic.
+
+    Rows with null and empty texts stay, as do all without labels of both classes, unless every label says toxic; null and
+    repeated doc_ids and repeated rows are judged each by its text; an empty table stays empty."""
     scorer, at = _scorer(docs, labels), docs.columns.index("text")
 
     def run(batches):
@@ -230,4 +233,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
                 keep[i:j] = p[:, 0] < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    placed = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return placed.mapInArrow(run, placed.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
