@@ -14,27 +14,42 @@ from verisift.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows called toxic by the model learnt from `labels` go; null and empty texts stay."""
+    """Rows called toxic by the model learnt from `labels` go.
+
+    Null and empty texts stay; rows with null or repeated doc_ids, and repeated rows, are judged each by its text; without usable
+    labels nothing goes; an empty table stays empty; other columns stay as they are, whatever their names."""
     return drop_toxic(docs, lookup_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates stays; rows without words stay, of equal ones one."""
+    """One row of each component of near duplicates stays: the first by doc_id (null last) and the text's digest, which settles ties.
+
+    Rows without words (null, empty, blank texts) stay, of equal ones one; null and repeated doc_ids are rows like others; an
+    empty table stays empty; other columns stay as they are, whatever their names."""
     return keep_one_per_component(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that a smaller doc_id holds too are cut out of `text`; rows that lose every word go."""
+    """Spans that a smaller doc_id holds too are cut out of `text`; rows that lose every word go.
+
+    Null and empty texts stay; rows with a null doc_id lose nothing and cost others nothing; rows of one doc_id, repeated ones too,
+    do not act on each other; an empty table stays empty; other columns stay as they are, but for `n_chars`."""
     return keep_first_spans(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold an item of `benchmark` go."""
+    """Rows that hold an item of `benchmark` go.
+
+    Null and empty texts hold none; rows with null or repeated doc_ids are judged each by its text, equal ones alike; items
+    without text are none; an empty table on either side takes nothing out; other columns stay as they are."""
     return drop_contaminated(docs, lookup_table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The end product: doc_id, n_tokens, ids (array<int>), and digests of the ids and of the text decoded from them."""
+    """The end product: doc_id, n_tokens, ids (array<int>), and digests of the ids and of the text decoded from them.
+
+    Null and empty texts have no ids; null and repeated doc_ids, and repeated rows, give a row each; an empty table gives none;
+    other columns end here."""
     return encode_documents(docs, tokenizer_path(), with_ids=True).drop("decoded")
 
 
