@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import hashed_rank
-from .sampling import mispair, numbered, perturb_numbers, rank_within, sample_exact
+from .sampling import mispair, numbered, perturb_numbers, sample_exact, with_first
 
 
 def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str = "42") -> DataFrame:
@@ -24,22 +24,24 @@ def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str = "42") -
 
 def priority_sample(df: DataFrame, kind: str, key: str, n: int, priority=fixed.TYPE_PRIORITY, least: int = 500, salt: str = "42") -> DataFrame:
     """All rows if there are at most n; else per kind in turn min(rows, max(a third of what is missing, `least`)), the rest
-    from all leftovers in hashed order; at most n rows. Only the counts of the named kinds come to the driver."""
-    if df.count() <= n:
+    from all leftovers in hashed order; at most n rows. Only the counts of the named kinds come to the driver; a kind may be a
+    third of all rows, as rows are ranked by hash interval."""
+    named = F.when(F.col(kind).isin(*priority), F.col(kind))
+    sizes = {r["k"]: r["n"] for r in df.groupBy(named.alias("k")).agg(F.count("*").alias("n")).collect()}
+    if sum(sizes.values()) <= n:
         return df
-    there = {r[kind]: r["n"] for r in df.where(F.col(kind).isin(*priority)).groupBy(kind).agg(F.count("*").alias("n")).collect()}
     quotas, missing = {}, n
     for k in priority:
-        take = min(there.get(k, 0), max(missing // 3, least), missing)
+        take = min(sizes.get(k, 0), max(missing // 3, least), missing)
         if take > 0:
             quotas[k] = take
             missing -= take
     if not quotas:
         return sample_exact(df, key, n, salt)
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    named = rank_within(df.where(F.col(kind).isin(*quotas)), [kind], key, salt)
-    chosen = named.where(F.col("rank") <= quota[F.col(kind)]).drop("rank")
-    left = named.where(F.col("rank") > quota[F.col(kind)]).drop("rank").unionByName(df.where(F.col(kind).isNull() | ~F.col(kind).isin(*quotas)))
+    taken = with_first(df.where(F.col(kind).isin(*quotas)), [kind], key, salt, lambda _, __: quota[F.col(kind)])
+    left = taken.where("not _first").drop("_first").unionByName(df.where(F.col(kind).isNull() | ~F.col(kind).isin(*quotas)))
+    chosen = taken.where("_first").drop("_first")
     return chosen.unionByName(sample_exact(left, key, missing, salt)) if missing else chosen
 
 
@@ -47,8 +49,9 @@ def coverage_set(df: DataFrame, key: str, label: str, ratio: str, per_class: int
     """Keys of at least `per_class` rows of each class, `per_level` contradicting rows of each level and `extra` others."""
     percent = F.bround(F.col(ratio) * 100).cast("int")
     rows = df.select(key, label, percent.alias("_level"))
-    a = rank_within(rows.where(F.col(label).isin(0, 1, 2)), [label], key).where(F.col("rank") <= per_class)
-    b = rank_within(rows.where((F.col(label) == 2) & F.col("_level").isin(*[round(x * 100) for x in levels])), ["_level"], key).where(F.col("rank") <= per_level)
+    first = lambda some, by, n: with_first(some, [by], key, "42", lambda _, __: F.lit(n), alone=True).where("_first")
+    a = first(rows.where(F.col(label).isin(0, 1, 2)), label, per_class)
+    b = first(rows.where((F.col(label) == 2) & F.col("_level").isin(*[round(x * 100) for x in levels])), "_level", per_level)
     sure = a.select(key).union(b.select(key)).distinct()
     return sure.union(sample_exact(rows.select(key).join(sure, key, "left_anti"), key, extra))
 
@@ -111,14 +114,15 @@ def class_mix(df: DataFrame, key: str, text: str, entails: int, neutral: int, co
 TEMPLATES = ("Model {i} reaches an accuracy of {v}%.", "The loss of run {i} falls to {v}.", "System {i} needs {v} ms per step.", "Method {i} scores {v} on the test set.", "Variant {i} improves recall by {v} points.")
 
 
-def synthetic_rows(spark, n: int, width: int = 8) -> DataFrame:
-    """N rows (id, text, label, features): five templates in turn with hashed values, and features around the class's centre."""
+def synthetic_rows(df: DataFrame, key: str, width: int = 8) -> DataFrame:
+    """A row (id, text, label, features) for each row of df, drawn from its key alone: five templates in turn with hashed values,
+    and features around the class's centre. Rows without a key give none; repeated keys repeat their row."""
     h = lambda salt: hashed_rank(F.col("id"), salt)
     value = ((h("value") % 1000) / 10.0).cast("string")
     text = F.array(*[F.replace(F.replace(F.lit(t), F.lit("{i}"), F.col("id").cast("string")), F.lit("{v}"), value) for t in TEMPLATES])
     noise = lambda i: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), i.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32) - 0.5
-    rows = spark.range(n).withColumn("label", (h("label") % 3).cast("int"))
-    return rows.select("id", F.get(text, (F.col("id") % len(TEMPLATES)).cast("int")).alias("text"), "label", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("label") - 1.0 + noise(i)).alias("features"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).withColumn("label", (h("label") % 3).cast("int"))
+    return rows.select("id", F.get(text, F.pmod("id", F.lit(len(TEMPLATES))).cast("int")).alias("text"), "label", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("label") - 1.0 + noise(i)).alias("features"))
 
 
 def png_size(content: Column) -> Column:

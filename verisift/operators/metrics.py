@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -149,10 +149,34 @@ def trajectory_reward(df: DataFrame, key: str, label: str, matched: str, reporte
     return a.select(key, (F.col("base") + cross * F.col("match") * 0.5 + conflict * found + info * F.when(F.col("entailed") < 0.3, -0.5).otherwise(0.0)).alias("reward"))
 
 
+#: Ranks of the sketch that brackets a median are off by one in ACCURACY at most; the bracket is wider than that on both sides.
+ACCURACY, BRACKET = 10_000, 3e-4
+
+
+def exact_medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median) of the values that aren't null, exact; of an even number the mean of the middle two. NaN is the largest value.
+
+    A key may hold a third of all rows, all different. A sketch gives two values that enclose the middle; the values below are
+    counted, and those between, a few of ten thousand and ties, are ranked as distinct values with counts."""
+    v, same = F.col("_v"), F.col("_key").eqNullSafe(F.col("_of"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(F.col("_key").alias("_of")).agg(F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("e"), F.count("*").alias("n"))
+    near = rows.join(ends.select("_of", "n", F.get("e", 0).alias("a"), F.get("e", 1).alias("z")), same).where(v <= F.col("z"))
+    # one row stands for all values below the bracket
+    counts = near.groupBy("_key", "n", F.when(v >= F.col("a"), v).alias("x")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("_key").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("upto", upto)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    lower, upper = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+    return placed.where("x is not null").groupBy("_key").agg(((lower + upper) / 2).alias("median")).withColumnRenamed("_key", key)
+
+
 def reward_summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Population and sample deviation, range and exact median per key."""
+    """Population and sample deviation, range and exact median per key; keys without a value have nulls."""
     v = F.col(value)
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std_samp"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, 0.5).alias("median"))
+    figures = df.groupBy(F.col(key).alias("_of")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std_samp"), F.min(v).alias("low"), F.max(v).alias("high"))
+    medians = exact_medians(df, key, value)
+    return figures.join(medians, F.col("_of").eqNullSafe(F.col(key)), "left").select(F.col("_of").alias(key), "n", "mean", "std_pop", "std_samp", "low", "high", "median")
 
 
 def paired_comparison(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -92,15 +92,15 @@ def policy_reward(df: DataFrame, key: str, label: str, prob2: str, truth: str, s
     return a.select(key, F.col("n").alias("claims"), F.when(F.col("n") == 0, -0.3).otherwise(total).alias("reward"))
 
 
-def _gelu(x: np.ndarray) -> np.ndarray:
+def gelu(x: np.ndarray) -> np.ndarray:
     return x * 0.5 * (1.0 + np.frompyfunc(math.erf, 1, 1)(x / math.sqrt(2.0)).astype(np.float64))
 
 
 def head_probabilities(visual: np.ndarray, text: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     """Class probabilities of rows; weights v1 v2 t1 t2 c1 c2 are (inputs + 1, outputs), the last row the offset."""
     layer = lambda x, k: x @ weights[k][:-1] + weights[k][-1]
-    v, s = layer(_gelu(layer(visual, "v1")), "v2"), layer(_gelu(layer(text, "t1")), "t2")
-    z = layer(_gelu(layer(np.concatenate([v, s, np.abs(v - s)], axis=1), "c1")), "c2")
+    v, s = layer(gelu(layer(visual, "v1")), "v2"), layer(gelu(layer(text, "t1")), "t2")
+    z = layer(gelu(layer(np.concatenate([v, s, np.abs(v - s)], axis=1), "c1")), "c2")
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 

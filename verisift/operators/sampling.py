@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import fixed_values as fixed
 from ..functions.text import hashed_rank
@@ -44,7 +45,7 @@ def numbered(df: DataFrame, key: str, salt: str = "42") -> tuple[DataFrame, int]
     return within.join(F.broadcast(base), "_b").withColumn("place", (F.col("_base") + F.col("_i") - 1).cast("long")).drop("_h", "_b", "_i", "_base"), total
 
 
-def _with_first(df: DataFrame, strata: list[str], key: str, salt: str, wanted, beside=None, alone: bool = False) -> DataFrame:
+def with_first(df: DataFrame, strata: list[str], key: str, salt: str, wanted, beside=None, alone: bool = False) -> DataFrame:
     """df with `_first`: the row is among the first `wanted` of its stratum in hashed order. alone: only such rows, and few others.
 
     wanted(n, b) gives the number from the stratum's rows and the largest value of the column `beside` in it. A stratum may be a
@@ -71,7 +72,7 @@ def _with_first(df: DataFrame, strata: list[str], key: str, salt: str, wanted, b
 def quota_sample(df: DataFrame, group: str, quotas: dict, key: str, salt: str = "42") -> DataFrame:
     """Up to the quota of each group, in hashed order; groups without a quota give none."""
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    return _with_first(df.where(F.col(group).isin(*quotas)), [group], key, salt, lambda n, _: quota[F.col(group)], alone=True).where("_first").drop("_first")
+    return with_first(df.where(F.col(group).isin(*quotas)), [group], key, salt, lambda n, _: quota[F.col(group)], alone=True).where("_first").drop("_first")
 
 
 def split_train_val(df: DataFrame, key: str, share: float = 0.005, salt: str = "42") -> DataFrame:
@@ -96,7 +97,7 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, train: float =
 
     least: a column of the strata's, the fewest validation rows (for changed rows, say)."""
     wanted = lambda n, least: F.greatest(F.lit(1), F.least(F.greatest(F.bround(n * (1 - train)).cast("long"), least), F.greatest(F.lit(1), n - 1)))
-    rows = _with_first(df, strata, key, salt, wanted, least)
+    rows = with_first(df, strata, key, salt, wanted, least)
     return rows.withColumn("split", F.when(F.col("_first"), "val").otherwise("train")).drop("_first")
 
 
@@ -109,7 +110,7 @@ def oversample(df: DataFrame, label: str, key: str, factors: dict | None = None)
     for k, f in (factors or {}).items():
         factor = F.when(F.col(label) == k, float(max(1.0, f))).otherwise(factor)
     copies = F.floor(F.lit(most) * factor)
-    rows = _with_first(df.where(F.col(label).isNotNull()), [label], key, "42", lambda n, _: copies % n).join(sizes, label)
+    rows = with_first(df.where(F.col(label).isNotNull()), [label], key, "42", lambda n, _: copies % n).join(sizes, label)
     times = (F.floor(copies / F.col("n")) + F.col("_first").cast("int")).cast("int")
     return rows.where(times >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_first", "n")
 
@@ -135,38 +136,50 @@ def best_of_group(df: DataFrame, group: str, score: str, order: str) -> DataFram
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), order))).where("_r = 1").drop("_r")
 
 
-#: Steps of a run that are folded as one list.
-BLOCK = 1024
+#: Steps of a run that are taken together.
+BLOCK = 1 << 14
 
 
 def running_baseline(df: DataFrame, run: str, step: str, value: str, decay: float = fixed.EMA_DECAY, block: int = BLOCK) -> DataFrame:
     """Exponential moving average from 0 over each run's ordered steps. A row without a value has none and leaves it as it is.
 
-    A run may be a third of all rows: fixed blocks of `block` steps are folded each by itself, from 0. What is carried into a block
-    is a scan over one small row per block, and shrinks by `decay` with each value. A block's time grows with the square of its
-    rows; where runs share one count of steps, so that each has few of them, larger blocks make fewer rows to scan."""
+    A run may be a third of all rows. Blocks of `block` steps are scanned each by itself, from 0; what is carried into a block is a
+    scan over one small row per block, and shrinks by `decay` with each value. Time grows with the rows."""
+    on = ["_none", "_run", "_block"]
     keys = [F.col(run).isNull().alias("_none"), F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_run"), F.coalesce(F.floor(F.col(step) / block), F.lit(-(1 << 63))).alias("_block")]
-    lists = df.groupBy(*keys).agg(F.first(run).alias("_own"), F.array_sort(F.collect_list(F.struct(step, value))).alias("x"))
-    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s")))
-    more = lambda a, v: F.struct((last(a)["k"] + 1).alias("k"), (last(a)["s"] * decay + v * round(1 - decay, 12)).alias("s"))
-    folded = F.aggregate("x", F.array().cast("array<struct<k:int,s:double>>"), lambda a, x: F.concat(a, F.array(F.when(x[value].isNull(), last(a)).otherwise(more(a, x[value].cast("double"))))))
-    blocks = lists.withColumn("f", folded)
+    rows = df.select(*keys, F.col(run).alias("_own"), F.col(step).alias("_step"), F.col(value).alias("_value"), F.col(value).cast("double").alias("_v"))
+    rows = rows.repartition(*on).sortWithinPartitions(*on, "_step", F.col("_value").asc_nulls_last())
+    share = round(1 - decay, 12)
+
+    def scanned(batches):
+        before, k, s = None, 0, 0.0
+        for batch in batches:
+            places, sums = [], []
+            for *of, v in zip(*(batch.column(c).to_pylist() for c in (*on, "_v")), strict=True):
+                if of != before:
+                    before, k, s = of, 0, 0.0
+                if v is not None:
+                    k, s = k + 1, s * decay + v * share
+                places.append(k)
+                sums.append(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(sums, pa.float64())], names=[*batch.schema.names, "_k", "_s"])
 
     def carried(batches):
         before, state = None, 0.0
         for batch in batches:
             out = []
-            for *of, k, s in zip(*(batch.column(c).to_pylist() for c in ("_none", "_run", "k", "s")), strict=True):
+            for *of, k, s in zip(*(batch.column(c).to_pylist() for c in ("_none", "_run", "_k", "_s")), strict=True):
                 state = state if of == before else 0.0
                 out.append(state)
                 before, state = of, state * decay**k + s
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_none", "_run", "_block")), pa.array(out, pa.float64())], names=["_none", "_run", "_block", "carry"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in on), pa.array(out, pa.float64())], names=[*on, "_carry"])
 
-    ends = blocks.select("_none", "_run", "_block", last(F.col("f"))["k"].alias("k"), last(F.col("f"))["s"].alias("s"))
-    carries = ends.repartition("_none", "_run").sortWithinPartitions("_none", "_run", "_block").mapInArrow(carried, "_none boolean, _run string, _block long, carry double")
-    each = blocks.join(carries, ["_none", "_run", "_block"]).select("_own", "carry", F.explode(F.arrays_zip("x", "f")).alias("z"))
-    ema = F.when(F.col(f"z.x.{value}").isNotNull(), F.col("z.f.s") + F.pow(F.lit(decay), F.col("z.f.k")) * F.col("carry"))
-    return each.select(F.col("_own").alias(run), f"z.x.{step}", f"z.x.{value}", ema.alias("ema"))
+    each = rows.mapInArrow(scanned, StructType([*rows.schema, StructField("_k", LongType()), StructField("_s", DoubleType())]))
+    # rows without a value repeat the place and sum of the one before, so the largest place tells the block's end
+    ends = each.groupBy(*on).agg(F.max("_k").alias("_k"), F.max_by("_s", "_k").alias("_s"))
+    carries = ends.repartition("_none", "_run").sortWithinPartitions(*on).mapInArrow(carried, "_none boolean, _run string, _block long, _carry double")
+    ema = F.when(F.col("_value").isNotNull(), F.col("_s") + F.pow(F.lit(decay), F.col("_k")) * F.col("_carry"))
+    return each.join(carries, on).select(F.col("_own").alias(run), F.col("_step").alias(step), F.col("_value").alias(value), ema.alias("ema"))
 
 
 def interval_means(df: DataFrame, run: str, step: str, value: str, every: int) -> DataFrame:
@@ -174,14 +187,26 @@ def interval_means(df: DataFrame, run: str, step: str, value: str, every: int) -
     return df.groupBy(run, F.floor((F.col(step) - 1) / every).alias("interval")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
-def early_stop(df: DataFrame, run: str, step: str, score: str, patience: int) -> DataFrame:
-    """Per run the step at which `patience` steps in a row brought no better score (null: never) and the best step."""
-    w = Window.partitionBy(run).orderBy(step)
-    before = F.max(score).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_better", (before.isNull() | (F.col(score) > before)).cast("int"))
-    island = marked.withColumn("_island", F.sum("_better").over(w))
-    counted = island.withColumn("_since", F.sum(1 - F.col("_better")).over(Window.partitionBy(run, "_island").orderBy(step)))
-    return counted.groupBy(run).agg(F.min(F.when(F.col("_since") >= patience, F.col(step))).alias("stop_step"), F.max_by(step, F.struct(F.col(score), -F.col(step))).alias("best_step"))
+def early_stop(df: DataFrame, run: str, step: str, score: str, patience: int, block: int = BLOCK) -> DataFrame:
+    """Per run the step at which `patience` steps in a row brought no better score (null: never) and the best step.
+
+    Rows without a score are no steps. A run may be a third of all rows: blocks of `block` steps are ranked each by itself, and
+    carry on their number of rows, best score and last improvement, one small row per block."""
+    rows = df.where(F.col(score).isNotNull()).select(F.col(run).isNull().alias("_none"), F.coalesce(F.col(run).cast("string"), F.lit("")).alias("_run"), F.coalesce(F.floor(F.col(step) / block), F.lit(-(1 << 63))).alias("_block"), F.col(run).alias("_own"), F.col(step).alias("_step"), F.col(score).alias("_score"))
+    on = ["_none", "_run", "_block"]
+    earlier = Window.partitionBy("_none", "_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*on).orderBy("_step")
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("n"), F.max("_score").alias("top"))
+    bases = sizes.select(*on, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"), F.max("top").over(earlier).alias("_top"))
+    best = F.greatest("_top", F.max("_score").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = rows.join(bases, on).withColumn("_best", best).withColumn("_at", F.col("_base") + F.row_number().over(inside))
+    marked = marked.withColumn("_better", F.when(F.col("_best").isNull() | (F.col("_score") > F.col("_best")), F.col("_at")))
+    gains = marked.groupBy(*on).agg(F.max("_better").alias("last"))
+    known = gains.select(*on, F.max("last").over(earlier).alias("_last"))
+    last = F.greatest("_last", F.max("_better").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counted = marked.join(known, on).withColumn("_since", F.col("_at") - last)
+    out = counted.groupBy("_none", "_run").agg(F.first("_own").alias(run), F.min(F.when(F.col("_since") >= patience, F.col("_step"))).alias("stop_step"), F.max_by("_step", F.struct(F.col("_score"), -F.col("_step"))).alias("best_step"))
+    return out.drop("_none", "_run")
 
 
 #: Numbers from this on are years or ids: they stay.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import messages as ms
 from ..operators import records as rc
 from ..sources.evidence import RECORDS_SQL, fact_records, table
@@ -151,15 +152,22 @@ def c19_answer_text(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, 4 + 0 * doc_id - 1 AS messages, 'user' AS role, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS parts, 'Context: ' || left(text, 2000) || chr(10) || chr(10) || 'Question: why?' AS asked, left(text, 100) AS claim, left(text, 150) AS detail FROM documents WHERE text <> ''"""
+    """SELECT doc_id, 4 + 0 * doc_id - 1 AS messages, 'user' AS role, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN text <> '' THEN 'Context: ' || left(text, 2000) || chr(10) || chr(10) ELSE '' END || 'Question: why?' AS asked, left(text, 100) AS claim, left(text, 150) AS detail FROM documents"""
 )
 def c21_c24_build_messages(spark, sf_dir):
     images = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a.png")))
-    d = table(spark, sf_dir, "documents").where("text <> ''").withColumn("m", ms.build_messages(F.lit("why?"), F.lit(""), F.col("text"), images, F.lit("so"), "be brief"))
+    d = table(spark, sf_dir, "documents").withColumn("m", ms.build_messages(F.lit("why?"), F.lit(""), F.col("text"), images, F.lit("so"), "be brief"))
     user = F.get("m", 1)
     return d.select("doc_id", F.size("m").alias("messages"), user["role"].alias("role"), F.size(user["content"]).alias("parts"), F.element_at(user["content"], -1)["value"].alias("asked"), ms.cut(F.col("text"), "claim").alias("claim"), ms.cut(F.col("text"), "detail").alias("detail"))
 
 
+@query("SELECT doc_id, word, CASE WHEN doc_id % 6 IN (0, 1) THEN 0 WHEN doc_id % 6 IN (2, 3, 4) THEN 2 ELSE 1 END AS label FROM (SELECT doc_id, ['Supported', ' entailment ', 'contradicts', 'REFUTED ', 'refutes', 'not supported'][doc_id % 6 + 1] AS word FROM labels)")
+def c28_label_of(spark, sf_dir):
+    words = F.array(*map(F.lit, ("Supported", " entailment ", "contradicts", "REFUTED ", "refutes", "not supported")))
+    said = table(spark, sf_dir, "labels").select("doc_id", F.get(words, (F.col("doc_id") % 6).cast("int")).alias("word"))
+    return said.withColumn("label", t.label_of(F.col("word")))
+
+
 @query("""SELECT item_id, 'Evidence:' || chr(10) || left(text, 1500) || chr(10) || chr(10) || 'Statement:' || chr(10) || left(lower(text), 500) || chr(10) || chr(10) || 'How well does the evidence support the statement? Reply with JSON: {"score": 0 to 10}' AS prompt FROM benchmark""")
 def c25_judge_prompt(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", ms.judge_prompt(F.lower("text"), F.col("text")).alias("prompt"))

@@ -12,7 +12,7 @@ from ..operators import html_tables as ht
 from ..operators import metrics as m
 from ..operators import sampling as s
 from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, RECORDS_SQL, fact_records, paired_documents, rendered_claims, stored_records, table
-from . import construction, index, layers, responses, sets  # noqa: F401  (they register their queries)
+from . import construction, index, inputs, layers, responses, sets  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
 
@@ -247,7 +247,7 @@ def w3_best_of_group(spark, sf_dir):
     SELECT user_id, event_id, ema FROM r"""
 )
 def w4_running_baseline(spark, sf_dir):
-    return s.running_baseline(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", block=1 << 14).select("user_id", "event_id", "ema")
+    return s.running_baseline(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "ema")
 
 
 @query("SELECT event_type, CAST(floor((event_id - 1) / 100.0) AS BIGINT) AS interval, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import responses as r
+from ..operators import training
 from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, fact_records, paired_documents, rendered_claims, table
 from .registry import query
 
@@ -114,6 +115,29 @@ def v14_head_inference(spark, sf_dir):
     return r.head_inference(e, "embedding", "other", example_weights(width)).select("vec_id", "head.label", "head.reward")
 
 
+def _taught(spark, sf_dir, width_of=16):
+    """(training rows, validation rows, starting weights): each vector against itself reversed; every fifth vec_id validates."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("other"), F.pmod("label", F.lit(3)).alias("label"))
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), example_weights(width, width_of)
+
+
+@query()
+def m1_head_training(spark, sf_dir):
+    """Loss, rate and accuracy by epoch; a test holds the weights against a plain loop."""
+    train, validation, start = _taught(spark, sf_dir)
+    done = training.train_head(train, validation, "vec_id", "embedding", "other", "label", start, epochs=2, batch=4096, rate=0.01, class_weights=(1.0, 1.2, 1.5))
+    return spark.createDataFrame(done.history, "epoch int, loss double, rate double, accuracy double")
+
+
+@query()
+def m2_policy_training(spark, sf_dir):
+    """The same of a policy epoch, with the starting weights as reference and judge; a test holds a step against a plain loop."""
+    train, validation, start = _taught(spark, sf_dir)
+    done = training.policy_training(train, validation, "vec_id", "embedding", "other", "label", start, start, epochs=1, batch=4096)
+    return spark.createDataFrame(done.history, "epoch int, loss double, rate double, accuracy double")
+
+
 def example_weights(width: int, latent: int = 16, classes: int = 3) -> dict[str, np.ndarray]:
     """Weights of a head from a fixed seed."""
     g = np.random.default_rng(42)

@@ -142,10 +142,10 @@ _VALUE = f"CASE WHEN {_h('value')} % 1000 % 10 = 0 THEN ({_h('value')} % 1000 //
 
 @query(
     f"""SELECT i AS id, CASE i % 5 WHEN 0 THEN 'Model ' || i || ' reaches an accuracy of ' || v || '%.' WHEN 1 THEN 'The loss of run ' || i || ' falls to ' || v || '.' WHEN 2 THEN 'System ' || i || ' needs ' || v || ' ms per step.' WHEN 3 THEN 'Method ' || i || ' scores ' || v || ' on the test set.' ELSE 'Variant ' || i || ' improves recall by ' || v || ' points.' END AS text,
-      CAST({_h('label')} % 3 AS INTEGER) AS label, {_h('label')} % 3 - 1.0::DOUBLE + {_h('/0')} / 4294967296.0::DOUBLE - 0.5::DOUBLE AS first FROM (SELECT i, {_VALUE} AS v FROM range(1000) r(i))"""
+      CAST({_h('label')} % 3 AS INTEGER) AS label, {_h('label')} % 3 - 1.0::DOUBLE + {_h('/0')} / 4294967296.0::DOUBLE - 0.5::DOUBLE AS first FROM (SELECT i, {_VALUE} AS v FROM (SELECT event_id AS i FROM events))"""
 )
 def s15_synthetic_rows(spark, sf_dir):
-    return k.synthetic_rows(spark, 1000).select("id", "text", "label", F.get("features", 0).alias("first"))
+    return k.synthetic_rows(table(spark, sf_dir, "events"), "event_id").select("id", "text", "label", F.get("features", 0).alias("first"))
 
 
 @query()

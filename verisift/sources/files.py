@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
@@ -104,6 +105,24 @@ def read_weights(spark: SparkSession, path: str) -> dict:
     return {k: np.array(v) for k, v in out.items()}
 
 
+def write_checkpoint(spark: SparkSession, weights: dict, config: dict, path: str) -> None:
+    """IO18: weights and the configuration they were made with (numbers, texts, lists), in two folders; the configuration comes last,
+    so that a checkpoint with one is whole."""
+    write_weights(spark, weights, f"{path}/weights")
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> tuple[dict, dict] | None:
+    """IO18: (weights, config) of write_checkpoint, None where there is no whole one."""
+    try:
+        config = spark.read.text(f"{path}/config").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (read_weights(spark, f"{path}/weights"), json.loads(config["value"])) if config else None
+
+
 @dataclass(frozen=True)
 class Settings:
     """IO17: what a run is built from; dotted overrides make a changed copy."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.errors import AnalysisException, StreamingQueryException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -90,7 +90,7 @@ def _bounded(sink: str, good: str, order: list[str], limit: int) -> Callable[[Da
     """Writes a batch's good rows to sink, up to what `limit` leaves room for, in the order of columns, and bad ones to <sink>-rejected.
 
     What there is room for comes from the batches before alone, and a batch overwrites its own folders: one that runs again
-    takes as many rows as at first. The counts are observed while the rows are written, and noted last. A batch without room
+    takes as many rows as at first. Its counts are noted last. A batch without room
     raises LimitReached before it reads a row."""
 
     def put(batch: DataFrame, number: int) -> None:
@@ -99,11 +99,14 @@ def _bounded(sink: str, good: str, order: list[str], limit: int) -> Callable[[Da
         if before >= limit:
             raise LimitReached(f"{before} rows are taken")
         marked = batch.withColumn("_good", F.coalesce(F.expr(good), F.lit(False))).persist()
-        seen, bad = Observation(), Observation()
-        marked.where("_good").orderBy(*order).limit(limit - before).drop("_good").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        marked.where("not _good").drop("_good").observe(bad, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{sink}-rejected/batch={number}")
+        n = marked.agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).first()
+        good_rows, room = marked.where("_good"), limit - before
+        if n["good"] > room:  # once: the batch is the last one
+            good_rows = good_rows.orderBy(*order).limit(room)
+        good_rows.drop("_good").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        marked.where("not _good").drop("_good").write.mode("overwrite").parquet(f"{sink}-rejected/batch={number}")
         marked.unpersist()
-        taken, rejected = seen.get["n"], bad.get["n"]
+        taken, rejected = min(n["good"], room), n["bad"]
         note = spark.createDataFrame([(taken, rejected, before + taken)], "taken long, rejected long, total long")
         note.coalesce(1).write.mode("overwrite").parquet(f"{sink}-counts/batch={number}")
 
