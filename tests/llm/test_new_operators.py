@@ -118,8 +118,9 @@ def test_marks(odd):
             fill_in_middle(odd, marks=marks)
 
 
-def test_fill_in_middle_sql(spark):
-    assert difference(queries.op13_fill_in_middle(spark, SF), views(SF), queries.ORACLES["op13_fill_in_middle"]) is None
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    assert difference(queries.QUERIES[name](spark, SF), views(SF), queries.ORACLES[name]) is None
 
 
 def vectors(df):

@@ -89,6 +89,24 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OPERATORS = (op1_sharding, op2_quality, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_bpe, op7_ngram_jaccard, op8_fingerprints, op9_language, op10_token_files, op11_chunked_bpe, op12_whitening, op13_fill_in_middle)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        k AS (SELECT r, doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE doc_id IS NOT NULL)),
+        f AS (SELECT h, min(doc_id) AS least FROM k GROUP BY 1),
+        gone AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS i FROM k JOIN f USING (h) WHERE least < doc_id),
+        kept AS (SELECT r, i, x FROM (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d) ANTI JOIN gone USING (r, i)),
+        text AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM kept GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN text USING (r)
+    """,
+    "op7_ngram_jaccard": r"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        x AS (SELECT r, len(g) AS n, md5(unnest(g)) AS g FROM s),
+        links AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(r, c) AS (SELECT r, r FROM s UNION SELECT e.b, c FROM reach JOIN edges e ON e.a = reach.r)
+        SELECT o.doc_id, len(o.g) AS n_shingles, (SELECT min(t.doc_id) FROM reach JOIN s t ON t.r = reach.c WHERE reach.r = o.r) AS component_id FROM s o
+    """,
     "op13_fill_in_middle": """
         WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
         g AS (SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM h),
