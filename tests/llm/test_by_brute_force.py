@@ -175,3 +175,131 @@ def test_equal_substrings_have_equal_phrases_at_any_offset():
         other = "".join(g.choice(list("klmnop"), k)) + shared + "".join(g.choice(list("qrst"), 3 * k))
         x, y = (phrases(np.array(symbols(t), np.uint64), np.zeros(len(t), np.int64))[0].tolist() for t in (shared, other))
         assert sum((Counter(x) & Counter(y)).values()) >= len(x) - 2 * (ROUNDS + 2)
+
+
+def test_word_features():
+    from verisift.llm.toxicity import FEATURES as HASHED
+    from verisift.llm.toxicity import PREFIXES, word_features
+
+    texts = ["", "Idiots! idiot, IDIOTS", "unbelievable unbelievably über x1y", "a bb ccccc"]
+    raw = [t.encode() for t in texts]
+    doc, feature = word_features(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
+    for i, r in enumerate(raw):
+        words = {bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in re.findall(rb"[A-Za-z\x80-\xff]+", r)}
+        want = set()
+        for w in words:
+            for k in (0, *PREFIXES):
+                if len(w) >= k:
+                    part = np.frombuffer(w[:k] if k else w, np.uint8)
+                    h = int(range_hashes(part, np.array([0]), np.array([len(part)]))[0])
+                    want.add((h if not k else h ^ (k << 42)) >> 42)
+        assert set(feature[doc == i].tolist()) == want and all(f < HASHED for f in want)
+
+
+def test_cumulative_link_by_differences():
+    """Adam over slopes taken by differences of the plain loss reaches the same probabilities."""
+    from verisift.llm.toxicity import CumulativeLink
+
+    g = np.random.default_rng(4)
+    x = (g.random((40, 4)) < 0.5).astype(np.float32)
+    grade = np.clip((x @ np.array([1.5, -1, 0.5, 0]) + g.normal(size=40)).round().astype(int), 0, 3)
+    model = CumulativeLink.fit(x, grade, 3)
+    assert (np.diff(model.bounds) > 0).all()
+
+    def bounds(p):
+        return p[4] + np.r_[0, np.cumsum(np.log1p(np.exp(p[5:])))]
+
+    def loss(p):
+        total = 0.5 * 1e-3 * (p[:4] ** 2).sum()
+        for row, y in zip(x, grade, strict=True):
+            for k, b in enumerate(bounds(p), 1):
+                q = 1 / (1 + math.exp(-(row @ p[:4] - b)))
+                total -= math.log(q if y >= k else 1 - q) / len(x)
+        return total
+
+    base = np.array([(grade >= k).mean() for k in (1, 2, 3)]).clip(1e-4, 1 - 1e-4)
+    b = -np.log(base / (1 - base))
+    p = np.r_[np.zeros(4), b[0], np.log(np.expm1(np.maximum(np.diff(b), 1e-2)))]
+    m, v = np.zeros(7), np.zeros(7)
+    for t in range(1, 301):
+        slope = np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in np.eye(7) * 1e-5])
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    want = np.array([[1 / (1 + math.exp(-(row @ p[:4] - b))) for b in bounds(p)] for row in x])
+    got = model.at_least(x @ model.weight)
+    assert np.allclose(got, want, atol=0.01) and np.allclose(got.sum(axis=1), [sum(r) for r in want], atol=0.02)
+
+
+def test_contamination_by_every_offset(spark):
+    """Every item laid over every document at every offset at which windows meet."""
+    import random
+
+    import regex
+
+    from verisift.llm import decontamination as de
+
+    g = random.Random(6)
+    unit = de._UNIT
+
+    def parts(text):
+        plain = regex.sub(rf"(?<=\d)(?={unit}(?![\p{{L}}\p{{N}}]))", " ", text.translate({ord(c): None for c in de._MARKS}))
+        t = regex.sub(rf"(?<=\d[\x20\x09-\x0D]){unit}(?![\p{{L}}\p{{N}}])", "<unit>", plain)
+        t = regex.sub(r"\d+", "<num>", regex.sub(r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+", "<name>", t))
+        cut = lambda x: [w for w in re.split(r"[\x20\x09-\x0D]+", x.lower()) if w]
+        return cut(plain), cut(t)
+
+    vocabulary = ["the", "boat", "of", "Anna", "Carl", "has", "3", "12", "kg", "7km", "sold", "red", "old", "near", "Bonn", "and", "x2"]
+    say = lambda n: " ".join(g.choice(vocabulary) for _ in range(n))
+    items = [say(n) for n in (3, 5, 7, 9, 14, 20, 26)] + ["Anna has 3 red boats of 5 kg near the old town of Bonn and sold 3", "Carl has 4 red boats of 6 kg near the old town of Rome and sold 4"]
+    bench = [(i % 8, t) for i, t in enumerate(items)] + [(None, items[4]), (50, None)]
+
+    def changed(t):
+        return " ".join(g.choice([w, w, w, w.upper() if g.random() < 0.3 else w, str(g.randrange(9)) if w[0].isdigit() else w, g.choice(["Emil", "Dora"]) if w[0].isupper() else w, g.choice(vocabulary) if g.random() < 0.3 else w]) for w in t.split())
+
+    docs = [(k, f"{say(g.randrange(6))} {changed(g.choice(items))} {say(g.randrange(6))}") for k in range(150)]
+    classes = {}
+    for item_id, text in {b for b in bench if b[1]}:
+        w, t = parts(text)
+        slots = [i for i, x in enumerate(t) if "<" in x]
+        pattern = tuple(next(k for k, j in enumerate(slots) if (t[j], w[j]) == (t[i], w[i])) for i in slots)
+        classes.setdefault((tuple(t), pattern), []).append((item_id, w))
+    want = {}
+    for doc_id, text in docs:
+        dw, dt = parts(text)
+        for (t, pattern), members in classes.items():
+            n, slots = len(t), [i for i, x in enumerate(t) if "<" in x]
+            size, offsets = min(7, n), set()
+            for _, w in members:
+                for at in range(n - size + 1):
+                    part = t[at : at + size]
+                    by_template = n >= 7 and sum("<" not in x for x in part) >= de.LITERAL
+                    for place in range(len(dw) - size + 1):
+                        if (by_template and tuple(dt[place : place + size]) == part) or ((not by_template or any("<name>" in x for x in part)) and dw[place : place + size] == w[at : at + size]):
+                            offsets.add(place - at)
+            for off in offsets:
+                inside = [i for i in range(n) if 0 <= i + off < len(dw)]
+                equal = [i for i in inside if (any(w[i] == dw[i + off] for _, w in members) if "<" in t[i] else t[i] == dw[i + off])]
+                same = [i for i in inside if i in equal or t[i] == dt[i + off]]
+
+                def runs(places):
+                    out = []
+                    for i in places:
+                        if out and out[-1][-1] == i - 1:
+                            out[-1].append(i)
+                        else:
+                            out.append([i])
+                    return out
+
+                def consistent(places, off=off, pattern=pattern, slots=slots, dw=dw):
+                    pairs = [(pattern[slots.index(i)], dw[i + off]) for i in places if i in slots]
+                    return len(set(pairs)) - len({p for p, _ in pairs}) <= de.CONFLICT * len(pairs)
+
+                enough = lambda k, n=n: k >= de.PROOF or k >= de.SHARE * n
+                if enough(len(same)) and (any(len(r) >= de.PROOF for r in runs(equal)) or consistent(same) or any(enough(len(r)) and consistent(r) for r in runs(same))):
+                    ids = [i for i, _ in members if i is not None]
+                    key = (doc_id, min(ids) if ids else None)
+                    figures = (len(same), -off, n, sum(i in slots for i in same), len(members))
+                    want[key] = max(want.get(key, (0,)), figures)
+    rows = de.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], -r["offset"], r["item_size"], r["slots"], r["n_items"]) for r in rows}
+    assert len(got) == len(rows) and got == want and len(want) > 60
