@@ -343,7 +343,10 @@ def r4_layer_distribution(spark, sf_dir):
     return routed.agg(*[(100.0 * F.avg(F.array_contains("layers", k).cast("double"))).alias(f"layer{k}") for k in (0, 1, 2)])
 
 
-@query()
+@query(
+    f"""WITH {RECORDS_SQL}, cells AS (SELECT *, dense_rank() OVER (PARTITION BY paper_id, table_ord ORDER BY entity) - 1 AS row_idx, row_number() OVER (PARTITION BY paper_id, table_ord, entity ORDER BY rec_ord) AS col_idx FROM records)
+    SELECT paper_id, table_ord, row_idx, col_idx, entity, CASE metric WHEN 'latency' THEN 'Speed / latency' ELSE 'Quality / ' || metric END AS metric, value, '' AS unit, value::VARCHAR AS raw_text FROM cells"""
+)
 def t1_to_t9_html_tables(spark, sf_dir):
     """Fact records of each nation's tables written as HTML with a spanning header, and read back."""
     cells = fact_records(spark, sf_dir).groupBy("paper_id", "table_ord", "entity").agg(F.array_sort(F.collect_list(F.struct("rec_ord", "value"))).alias("v"))
