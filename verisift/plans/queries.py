@@ -12,7 +12,7 @@ from ..operators import html_tables as ht
 from ..operators import metrics as m
 from ..operators import sampling as s
 from ..sources.evidence import CLAIMS_SQL, PAIRED_SQL, RECORDS_SQL, fact_records, paired_documents, rendered_claims, stored_records, table
-from . import construction, index, inputs, layers, responses, sets  # noqa: F401  (they register their queries)
+from . import construction, files, index, inputs, layers, responses, sets  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, H, query  # noqa: F401
 
 
