@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift.llm.decontamination import drop_contaminated, find_contamination
+from verisift.llm import ngram_join
 from verisift.llm.ngram_join import connected_components, jaccard_components, keep_one_per_component
 from verisift.llm.sharding import shard_by_bytes
 from verisift.llm.substring_dedup import keep_first_spans
@@ -100,8 +101,10 @@ def test_both_ways_of_joining_give_the_same(spark, bound):
     assert rows == want and rows
 
 
-def test_one_component_of_a_third_of_all_rows(spark):
-    """A star with many leaves, a chain, and pairs: components by plain union."""
+@pytest.mark.parametrize("hot_rows", [10_000, 50])
+def test_one_component_of_a_third_of_all_rows(spark, monkeypatch, hot_rows):
+    """A star with many leaves, a chain, and pairs: components by plain union, with its centre whole and in parts."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot_rows)
     star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     chain = spark.range(10_000, 10_200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     pairs = spark.range(20_000, 26_000, 2).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
@@ -110,7 +113,9 @@ def test_one_component_of_a_third_of_all_rows(spark):
     assert got == want
 
 
-def test_near_copies_of_a_third_of_all_rows(spark):
+@pytest.mark.parametrize("hot_rows", [10_000, 20])
+def test_near_copies_of_a_third_of_all_rows(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot_rows)
     base = [f"t{i}" for i in range(80)]
     near = [(i, " ".join(x if k != i % 80 else f"changed{i}" for k, x in enumerate(base))) for i in range(300)]
     rest = [(1000 + i, " ".join(f"r{i}x{k}" for k in range(30))) for i in range(600)]

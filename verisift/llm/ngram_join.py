@@ -20,6 +20,8 @@ from .common import first_of_runs, forget, free_name, group_count, quoted, steps
 from .packed import Answers, Group, answered, dealt, sent
 
 SIZE, PERCENT = 5, 75
+#: A key is met in parts if it has more rows than this, and more than a HOT_KEYS-th of all rows: so fewer keys than that are.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +98,24 @@ def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, groups:
     return rows.groupBy("g").cogroup(classes.groupBy("g")).applyInArrow(collect, "doc_id long, n_shingles long, own long, digest binary, grams array<long>")
 
 
+def _met(rows: DataFrame, other: DataFrame, counts: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """rows joined with other (one row a key) on key. counts: (key, n), the rows of each key among `total`. Keys of very many rows are
+    cut into parts by another column, and other's row goes to each; the broadcast list of them holds fewer than HOT_KEYS."""
+    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    other = other.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return rows.join(other, [key, "part"]).drop("part")
+
+
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the Jaccard bound. Blocks of the product: runs of pairs with one b; each row of a block
-    accumulates the number of its n-grams that b's set holds."""
+    """The pairs (a, b) whose sets reach the Jaccard bound; pairs is a written table. Blocks of the product: runs of pairs with one b;
+    each row of a block accumulates the number of its n-grams that b's set holds. A b of very many pairs is spread over parts."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ag"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("bg"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "ag", "bg")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    joined = _met(pairs.join(left, "a"), right, counts, "b", "a", pairs.count()).select("a", "b", "an", "bn", "ag", "bg")
 
     def product(batches):
         for batch in batches:
@@ -134,10 +148,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     old = mark(now)
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = _met(both, least.select("u", F.least("u", "m").alias("m")), least, "u", "v", 2 * old[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _met(large, low.select("u", "m"), low, "u", "v", old[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, written(small.where("u <> v"))
         forget(last)
         if (new := mark(now)) == old:
@@ -164,7 +178,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     index = written(index.join(met.select("gram", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest")), "gram"))
     fits = lambda n, m, r, s: (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(r, s) * (100 + percent) >= (n + m) * percent)
     first = index.where(F.col("id") != F.col("hub")).where(fits(F.col("n"), F.col("hub_n"), F.col("rest"), F.col("hub_rest"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(_links(sets, first, percent))
+    links = written(_links(sets, written(first), percent))
     parts = written(connected_components(links))
     # what still lies apart: n-grams that meet in several components, whose largest one is left out on one side
     placed = index.select("gram", "id", "n", "rest").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -175,7 +189,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     b = apart.select("gram", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("rest").alias("br"), F.col("component").alias("bc"))
     rest = a.join(b, "gram").where(F.col("ac") != F.col("bc")).where(fits(F.col("an"), F.col("bn"), F.col("ar"), F.col("br")))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _links(sets, rest, percent)
+    more = _links(sets, written(rest), percent)
     whole = connected_components(links.union(more))
     members = sets.select("id", "digest", "least").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
