@@ -53,11 +53,13 @@ def corpus_statistics(papers: DataFrame, records: DataFrame) -> DataFrame:
     return a.withColumns({"tables_per_paper": F.round(F.try_divide("tables", "with_tables"), 2), "records_per_table": F.round(F.try_divide("records", "tables"), 2)})
 
 
-def build_index(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_index(lines: DataFrame, *ties: str) -> tuple[DataFrame, DataFrame]:
     """(records of the last line with text per paper, counters over all lines). lines: paper_id, line_no, records (array of
-    structs with `entity`, null for a blank line). Records without an entity go, from counters too; papers are counted per line."""
+    structs with `entity`, null for a blank line). Records without an entity go, from counters too; papers are counted per line.
+
+    Of a paper's lines with one number the first by the columns `ties` counts; without them line numbers must differ."""
     full = lines.where(F.col("records").isNotNull()).withColumn("records", F.filter("records", lambda r: F.coalesce(r["entity"], F.lit("")) != ""))
-    last = Window.partitionBy("paper_id").orderBy(F.desc("line_no"))
+    last = Window.partitionBy("paper_id").orderBy(F.desc("line_no"), *ties)
     kept = full.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("paper_id", F.posexplode("records").alias("rec_ord", "r"))
     return kept.select("paper_id", "rec_ord", "r.*", record_name(F.col("r.entity")).alias("entity_norm")), full.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.size("records")), F.lit(0)).alias("records"))
 

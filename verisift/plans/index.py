@@ -61,11 +61,12 @@ def t10_corpus_statistics(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """A line per lineitem row; those of quantity over 45 are blank; every third record has no entity."""
+    """A line per lineitem row; those of quantity over 45 are blank; every third record has no entity. An order may have several rows
+    of one line number: `place` is the row's place in the table's files, by name."""
     blank = F.col("l_quantity") > 45
     record = F.struct(F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("Part-"), F.col("l_partkey").cast("string"))).alias("entity"), F.col("l_quantity").cast("double").alias("value"))
     other = F.struct(F.lit("All parts").alias("entity"), F.lit(1.0).alias("value"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("line_no"), F.when(~blank, F.array(record, other)).alias("records"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("line_no"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"), F.when(~blank, F.array(record, other)).alias("records"))
 
 
 LINES_SQL = "l AS (SELECT l_orderkey AS paper_id, l_linenumber AS line_no, l_partkey AS p, l_quantity AS q FROM lineitem WHERE l_quantity <= 45)"
@@ -76,12 +77,12 @@ LINES_SQL = "l AS (SELECT l_orderkey AS paper_id, l_linenumber AS line_no, l_par
     SELECT paper_id, 0 AS rec_ord, 'Part-' || p AS entity, q::DOUBLE AS value, 'part' || p AS entity_norm FROM w WHERE p % 3 <> 0 UNION ALL SELECT paper_id, CASE WHEN p % 3 = 0 THEN 0 ELSE 1 END, 'All parts', 1.0::DOUBLE, 'allparts' FROM w"""
 )
 def j1_build_index(spark, sf_dir):
-    return rc.build_index(_lines(spark, sf_dir))[0]
+    return rc.build_index(_lines(spark, sf_dir), "place")[0]
 
 
 @query(f"WITH {LINES_SQL} SELECT count(*) AS lines, sum(CASE WHEN p % 3 = 0 THEN 1 ELSE 2 END)::BIGINT AS records FROM l")
 def j1_index_counters(spark, sf_dir):
-    return rc.build_index(_lines(spark, sf_dir))[1]
+    return rc.build_index(_lines(spark, sf_dir), "place")[1]
 
 
 @query("SELECT count(*) AS samples, count(l.doc_id) AS covered, count(l.doc_id) / greatest(count(*), 1)::DOUBLE AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
