@@ -2,8 +2,10 @@
 
 import duckdb
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests.compare import difference
+from verisift.operators import construction as k
 from verisift.plans import queries as plans
 
 
@@ -20,3 +22,16 @@ def test_tied_lines_in_a_table_of_parts(spark, tmp_path):
     assert con.execute("SELECT count(*) FROM lineitem").fetchone()[0] == t.num_rows
     for name in ("j1_build_index", "j1_index_counters"):
         assert difference(plans.QUERIES[name](spark, str(tmp_path)), con, plans.ORACLES[name]) is None
+
+
+def test_draws_with_replacement_from_more_rows(spark, tmp_path):
+    """The query draws 500,000 times from 500,001 documents: with replacement, as its SQL."""
+    spark.range(500_001).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = plans.QUERIES["s3_sample_with_replacement"](spark, str(tmp_path)).toArrow()
+    want = con.sql(plans.ORACLES["s3_sample_with_replacement"]).to_arrow_table()
+    assert got.select(want.column_names).sort_by("doc_id").to_pydict() == want.sort_by("doc_id").to_pydict()
+    few = spark.range(5)
+    assert k.sample_with_replacement(few, "id", 5, replace=True).count() == 5 == k.sample_with_replacement(few, "id", 9, replace=False).count()
+    assert k.sample_with_replacement(few.limit(0), "id", 3, replace=True).count() == 0

@@ -13,10 +13,11 @@ from ..functions.text import hashed_rank
 from .sampling import mispair, numbered, perturb_numbers, sample_exact, with_first
 
 
-def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str = "42") -> DataFrame:
-    """S3: k draws; for k of at most n the first k of the hashed order, else draw i takes the row at the place of i's hash."""
+def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str = "42", replace: bool | None = None) -> DataFrame:
+    """S3: k draws. With replacement draw i takes the row at the place of i's hash, without it rows are the first k of the hashed
+    order, at most all. replace None: only if k exceeds the rows, as in the original."""
     rows, total = numbered(df, key, salt)
-    if k <= total:
+    if replace is False or (replace is None and k <= total):
         return rows.where(F.col("place") < k).withColumn("draw", F.col("place")).drop("place")
     draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), (hashed_rank(F.col("id"), salt) % F.lit(max(total, 1))).alias("place"))
     return rows.join(draws, "place").drop("place")
