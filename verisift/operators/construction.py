@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import hashed_rank
-from .sampling import mispair, numbered, perturb_numbers, sample_exact, with_first
+from .sampling import NUMBER_ALONE, mispair, numbered, perturb_numbers, sample_exact, sample_passing, with_first
 
 
 def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str = "42", replace: bool | None = None) -> DataFrame:
@@ -92,15 +92,16 @@ def class_mix(df: DataFrame, key: str, text: str, entails: int, neutral: int, co
     """(key, text, label, ratio, place): rows as they are, rows with another row's text, and rows with changed numbers per
     level, permuted: `place` is their order by a hash.
 
-    Each part draws by its own salt. A part that can't be filled raises, as a short class would pass unseen."""
-    one = df.select(key, text).where(F.col(text).isNotNull())
-    parts = [sample_exact(one, key, entails, "entails").select(key, text, F.lit(0).alias("label"), F.lit(0.0).alias("ratio"))]
-    other = mispair(sample_exact(one, key, max(neutral, 2), "neutral"), key, text, "pair").select(key, F.col(f"other_{text}").alias(text))
+    Each part draws by its own salt and is written once, so that texts are changed for few rows and read once a part. A part that
+    can't be filled raises, as a short class would pass unseen."""
+    one = df.select(key, text)
+    drawn = lambda n, salt, passing=lambda rows: rows.where(F.col(text).isNotNull()): sample_passing(one, key, n, passing, salt)
+    parts = [drawn(entails, "entails").select(key, text, F.lit(0).alias("label"), F.lit(0.0).alias("ratio"))]
+    other = mispair(drawn(max(neutral, 2), "neutral"), key, text, "pair").select(key, F.col(f"other_{text}").alias(text))
     parts.append(sample_exact(other, key, neutral, "neutral").select(key, text, F.lit(1).alias("label"), F.lit(0.0).alias("ratio")))
-    changed = lambda r: perturb_numbers(F.col(text), r, f"level{r}")
     for r, n in contradicts.items():
-        new = one.where(F.col(text).rlike(r"(?<![\w.])\d+(?:\.\d+)?(?![\w.]*\w)")).withColumn("_new", changed(r)).where(F.col("_new") != F.col(text))
-        parts.append(sample_exact(new, key, n, f"level{r}").select(key, F.col("_new").alias(text), F.lit(2).alias("label"), F.lit(float(r)).alias("ratio")))
+        new = lambda rows, r=r: rows.where(F.col(text).rlike(NUMBER_ALONE)).withColumn("_new", perturb_numbers(F.col(text), r, f"level{r}")).where(F.col("_new") != F.col(text))
+        parts.append(drawn(n, f"level{r}", new).select(key, F.col("_new").alias(text), F.lit(2).alias("label"), F.lit(float(r)).alias("ratio")))
     out = reduce(DataFrame.unionByName, parts)
     want = {(0, 0.0): entails, (1, 0.0): neutral} | {(2, float(r)): n for r, n in contradicts.items()}
     got = {(x["label"], x["ratio"]): x["n"] for x in out.groupBy("label", "ratio").agg(F.count("*").alias("n")).collect()}

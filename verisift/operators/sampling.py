@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import fixed_values as fixed
-from ..functions.text import hashed_rank
+from ..functions.text import hashed_rank, let
+from ..sources.shared import kept
 
 
 def rank_within(df: DataFrame, group: list[str], key: str, salt: str = "42") -> DataFrame:
@@ -21,6 +22,28 @@ def sample_exact(df: DataFrame, key: str, k: int, salt: str = "42") -> DataFrame
     return df.orderBy(hashed_rank(F.col(key), salt), key).limit(k)
 
 
+#: For each row that is wanted, how many are tested at first; and how much wider each further look is.
+LOOKS, WIDER = 64, 16
+
+
+def sample_passing(df: DataFrame, key: str, k: int, passing, salt: str = "42") -> DataFrame:
+    """The first k rows, in hashed order, of passing(df), a costly test that drops or changes each row for itself and leaves its key.
+
+    Rows below a bound of the hash are tested; while too few of them pass, the bound rises and the rows up to it are tested, at last
+    all of them, each once. What is found is written once."""
+    low, bound, h = 0, max(1, (1 << 32) * LOOKS * k // max(df.count(), 1)), F.coalesce(hashed_rank(F.col(key), salt), F.lit(0))
+    found = None
+    while True:
+        more = kept(sample_exact(passing(df.where((h >= low) & (h < bound))), key, k, salt), "sample")
+        found = more if found is None else found.unionByName(more)
+        if bound >= 1 << 32:
+            return found
+        k -= more.count()
+        if k <= 0:
+            return found
+        low, bound = bound, bound * WIDER
+
+
 #: The hash range falls into 2 ** INTERVAL_BITS equal intervals: so many counts are what numbering and splitting work with.
 INTERVAL_BITS = 14
 
@@ -211,6 +234,8 @@ def early_stop(df: DataFrame, run: str, step: str, score: str, patience: int, bl
 
 #: Numbers from this on are years or ids: they stay.
 NUMBER_LIMIT = 2100.0
+#: A number that is no part of a word.
+NUMBER_ALONE = r"(?<![\w.])\d+(?:\.\d+)?(?![\w.]*\w)"
 
 
 def perturbation(text, ratio: float, salt: str = "42", most: int = 3, least: float = 0.0):
@@ -219,22 +244,29 @@ def perturbation(text, ratio: float, salt: str = "42", most: int = 3, least: flo
 
     Numbers stand alone (not inside words); decimals keep their places, integers round half-even. The text is split between
     the numbers and put together again."""
-    pattern = r"(?<![\w.])\d+(?:\.\d+)?(?![\w.]*\w)"
-    numbers, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    numbers = F.regexp_extract_all(text, F.lit(NUMBER_ALONE), F.lit(0))
     h = lambda i, s: F.conv(F.substring(F.md5(F.concat(text, F.lit(salt + s), i.cast("string"))), 1, 8), 16, 10).cast("double") / (1 << 32)
-    inside = F.filter(F.transform(numbers, lambda n, i: F.struct(h(i, "pick").alias("h"), i.alias("i"), n.cast("double").alias("v"))), lambda x: (x["v"] >= least) & (x["v"] < NUMBER_LIMIT))
-    chosen = F.transform(F.slice(F.array_sort(inside), 1, most), lambda x: x["i"])
+
+    def choice(numbers):
+        inside = F.filter(F.transform(numbers, lambda n, i: F.struct(i.alias("i"), n.cast("double").alias("v"))), lambda x: (x["v"] >= least) & (x["v"] < NUMBER_LIMIT))
+        ranked = F.array_sort(F.transform(inside, lambda x: F.struct(h(x["i"], "pick").alias("h"), x["i"].alias("i"))))
+        return F.array_sort(F.transform(F.slice(ranked, 1, most), lambda x: x["i"]))
 
     def changed(n, i):
         factor = 1 + F.when(h(i, "sign") < 0.5, -1.0).otherwise(1.0) * ratio * (0.5 + h(i, "size"))
         places = F.length(F.regexp_extract(n, r"\.(\d+)$", 1))
         new = n.cast("double") * factor
-        return F.when(F.array_contains(chosen, i), F.when(places == 0, F.bround(new).cast("long").cast("string")).otherwise(F.regexp_extract(F.format_string("%.10f", new), r"^(-?\d+\.\d+?)0*$", 1))).otherwise(n)
+        return F.when(places == 0, F.bround(new).cast("long").cast("string")).otherwise(F.regexp_extract(F.format_string("%.10f", new), r"^(-?\d+\.\d+?)0*$", 1))
+
+    def result(numbers, chosen, new):
+        parts = F.split(text, NUMBER_ALONE)
+        whole = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, n: F.array(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))), "")
+        picked = lambda values: F.transform(F.reverse(chosen), lambda i: F.get(values, i).cast("double"))
+        return F.struct(whole.alias("text"), picked(numbers).alias("original"), picked(new).alias("changed"), F.size(chosen).alias("num_changed"))
 
-    new = F.transform(numbers, changed)
-    whole = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, n: F.array(F.coalesce(p, F.lit("")), F.coalesce(n, F.lit(""))))), "")
-    picked = lambda values: F.transform(F.reverse(F.array_sort(chosen)), lambda i: F.get(values, i).cast("double"))
-    return F.struct(whole.alias("text"), picked(numbers).alias("original"), picked(new).alias("changed"), F.size(chosen).alias("num_changed"))
+    # what every number's turn needs is worked out once for the text
+    replaced = lambda numbers, chosen: F.transform(numbers, lambda n, i: F.when(F.array_contains(chosen, i), changed(n, i)).otherwise(n))
+    return let(numbers, lambda n: let(choice(n), lambda c: let(replaced(n, c), lambda new: result(n, c, new))))
 
 
 def perturb_numbers(text, ratio: float, salt: str = "42", most: int = 3):
